@@ -80,11 +80,14 @@ def listagg_by(
     keys: Sequence[str],
     measure: Column | str,
     delimiter: str,
-    order_by: Sequence[str],
+    order_by: Sequence[str] = (),
     name: str = "listagg",
     chunk: Column | None = None,
 ) -> DataFrame:
-    """Ordered ``listagg`` per key that splits hot groups over many tasks."""
+    """``listagg`` per key that splits hot groups over many tasks.
+
+    Without ``order_by`` the order is unspecified.
+    """
     value = (F.col(measure) if isinstance(measure, str) else measure).cast("string")
     return fold_in_order(df, keys, order_by, {name: (value, delimiter)}, chunk=chunk)
 

@@ -123,7 +123,7 @@ def high_water_mark(warehouse: Warehouse, name: str, column: str) -> Any:
     segments = None
     rule = next((r for r in manifest.layout.rules if r.field.lower() == column.lower()), None)
     if rule is not None and len(manifest.layout.rules) == 1 and _ordered_by_name(rule, manifest):
-        values = {s: warehouse.directory_value(s, rule.column) for s in manifest.segments}
+        values = {s: warehouse.directory_value(s, manifest.directory(rule)) for s in manifest.segments}
         known = [v for v in values.values() if v is not None]
         if known:
             segments = [s for s, v in values.items() if v == max(known)]

@@ -86,6 +86,46 @@ class PartitionRule:
             return stored == cut
         return stored <= cut if op in ("<", "<=") else stored >= cut
 
+    def may_hold(self, directory: str | None, op: str, value: Any) -> bool:
+        """Whether a directory can hold rows that pass ``(field, op, value)``.
+
+        Decided from the directory's name alone; True when in doubt.
+        """
+        if self.kind == "is_null":
+            return {"is_null": directory == "true", "not_null": directory != "true"}.get(op, True)
+        if op == "is_null":
+            return directory is None
+        if op == "between":
+            return self.may_hold(directory, ">=", value[0]) and self.may_hold(directory, "<=", value[1])
+        if op == "in":
+            return any(self.may_hold(directory, "==", v) for v in value)
+        if op not in ("==", "<", "<=", ">", ">="):
+            return True
+        name, wanted = directory, self._directory_name(value)
+        if wanted is None:
+            return True
+        if self.kind == "range":
+            if directory is None:
+                return True
+            name, wanted = int(directory), (int(value) - self.start) // self.interval * self.interval + self.start
+        elif directory is None:
+            return False
+        return {"==": name == wanted, "<": name <= wanted, "<=": name <= wanted}.get(op, name >= wanted)
+
+    def _directory_name(self, value: Any) -> str | None:
+        """The name of the directory a value belongs to; its order is that of values."""
+        if self.kind == "range":
+            return str(value)
+        if not isinstance(value, (dt.date, dt.datetime)):
+            return None
+        if isinstance(value, dt.datetime) and (value.tzinfo is not None or self.kind == "column"):
+            return None
+        if self.kind == "column" or self.granularity == "DAY":
+            return value.strftime("%Y-%m-%d")
+        if self.granularity == "HOUR":
+            return value.strftime("%Y-%m-%d-%H")
+        return value.strftime("%Y-%m-01" if self.granularity == "MONTH" else "%Y-01-01")
+
     def _implied_range(self, op: str, value: int, stored: Column) -> Column:
         # Rows outside [start, end) and NULLs share the overflow (NULL) directory.
         inside = self.start <= value < self.end
@@ -154,7 +194,8 @@ class Layout:
         return [r.field for r in self.rules] + list(self.cluster_by)
 
     # -- writing -----------------------------------------------------------
-    def arrange(self, df: DataFrame, cluster_columns: Sequence[str]) -> DataFrame:
+    @staticmethod
+    def arrange(df: DataFrame, directories: Sequence[str], cluster_columns: Sequence[str]) -> DataFrame:
         """Distribute rows for the write.
 
         Partitioned only: ``REBALANCE`` on the partition columns, so that AQE
@@ -162,7 +203,6 @@ class Layout:
         tasks. Clustered: range partitioning on partition and cluster columns
         plus a row hash, so that one hot value is spread as well.
         """
-        directories = [r.column for r in self.rules]
         if not cluster_columns:
             return df.hint("rebalance", *directories) if directories else df
         spread = F.xxhash64(*[
@@ -257,8 +297,8 @@ def condition(name: str, op: str, value: Any, kind: T.DataType | None = None) ->
 def scan(warehouse, name: str, where: Iterable[Filter] = ()) -> DataFrame:
     """Read a stored table with the given conjunctive filters.
 
-    Filters on the partition field also become filters on the directory
-    column, so only matching directories are listed and read. A table that
+    Filters on the partition field choose the directories before Spark lists
+    any file, and become filters on the directory column as well. A table that
     requires a partition filter refuses a scan without one.
     """
     filters = [(n, op, v) for n, op, v in where]
@@ -268,7 +308,16 @@ def scan(warehouse, name: str, where: Iterable[Filter] = ()) -> DataFrame:
         raise LayoutError(
             f"table '{name}' requires a filter on its partition column ({', '.join(sorted(fields))})"
         )
-    df = warehouse.read(name, directories=True, guarded=False)
+    by_field = [(r, op, v) for n, op, v in filters for r in manifest.layout.rules if r.field.lower() == n.lower()]
+    wanted = []
+    for segment in manifest.segments:
+        holds = (
+            rule.may_hold(warehouse.directory_value(segment, manifest.directory(rule)), op, v)
+            for rule, op, v in by_field
+        )
+        if all(holds):
+            wanted.append(segment)
+    df = warehouse.read(name, version=manifest.version, segments=wanted, directories=True, guarded=False)
     for column, op, value in filters:
         kind = manifest.column(column).data_type
         for rule in manifest.layout.rules:
@@ -300,7 +349,7 @@ def expire_partitions(warehouse, name: str, now: dt.datetime, days: float | None
     cutoff = now - (dt.timedelta(days=days) if days is not None else dt.timedelta(milliseconds=ms))
     keep = []
     for segment in manifest.segments:
-        value = warehouse.directory_value(segment, rule.column)
+        value = warehouse.directory_value(segment, manifest.directory(rule))
         if value is None or _period_end(value, rule) > cutoff:
             keep.append(segment)
     if len(keep) < len(manifest.segments):

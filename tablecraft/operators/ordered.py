@@ -16,9 +16,12 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], chu
     balanced by sampling, so a key with a third of all rows covers a third of
     the partitions. ``chunk`` replaces this with an expression of the caller's
     (it must be non-decreasing in ``order_by``), which saves the sampling pass.
+    Without an order the input partitions serve as they are.
     """
     if chunk is not None:
         return df.withColumn(CHUNK, chunk)
+    if not order_by:
+        return df.withColumn(CHUNK, F.spark_partition_id())
     ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order_by)])
     return ranged.withColumn(CHUNK, F.spark_partition_id())
 

@@ -20,7 +20,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tablecraft.operators.layout import LOAD_TIME_COLUMN, COLLATIONS, Layout, LayoutError
+from tablecraft.operators.layout import COLLATIONS, LOAD_TIME_COLUMN, Layout, LayoutError, PartitionRule
 from tablecraft.sources.files import Files, fresh_folder
 
 SEGMENT = "__segment"
@@ -73,6 +73,10 @@ class Manifest:
             f"table '{self.table}' has no column '{name}'; it has: {', '.join(c.name for c in self.columns)}"
         )
 
+    def directory(self, rule: PartitionRule) -> str:
+        """The directory level a partition rule writes to."""
+        return rule.column if rule.hidden else self.column(rule.field).stored_as
+
     def to_text(self) -> str:
         raw = asdict(replace(self, layout=None))
         raw["layout"] = self.layout.to_json()
@@ -316,11 +320,10 @@ class Warehouse:
         fitted = self.fit(base, df)
         columns = [F.col(f"`{c.name}`").alias(c.stored_as) for c in base.columns]
         columns += [r.value(F.col(f"`{r.field}`")).alias(r.column) for r in base.layout.rules if r.hidden]
-        rows = base.layout.arrange(
-            fitted.select(*columns), [base.column(c).stored_as for c in base.layout.cluster_by]
-        )
+        directories = [base.directory(r) for r in base.layout.rules]
+        clusters = [base.column(c).stored_as for c in base.layout.cluster_by]
+        rows = Layout.arrange(fitted.select(*columns), directories, clusters)
         folder = f"v={base.version + 1}-{uuid.uuid4().hex[:8]}"
-        directories = [r.column if r.hidden else base.column(r.field).stored_as for r in base.layout.rules]
         writer = rows.write.mode("errorifexists")
         if directories:
             writer = writer.partitionBy(*directories)
