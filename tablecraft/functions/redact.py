@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Replacement texts, token markers, characters of a token, size.
@@ -17,7 +19,9 @@ ELLIPSIS = "…"
 _MARK = "\uffff"
 _MARKER_RUN = "(?:" + "|".join(m.replace(".", r"\.") for m in MARKERS) + ")" + TOKEN_CHARACTERS + "*"
 _AFTER_BEARER = f"([Bb]earer)([{WHITESPACE}]*)(?:{TOKEN_CHARACTERS}+|[^{WHITESPACE}])"
-PATTERN = f"{_AFTER_BEARER}|{_MARKER_RUN}"
+# Looking at one character first rejects most positions without trying a branch.
+_FIRST = "".join(sorted({m[0] for m in MARKERS} | set("Bb")))
+PATTERN = f"(?=[{_FIRST}])(?:{_AFTER_BEARER}|{_MARKER_RUN})"
 
 
 def redact(text: Column | str, max_bytes: int | None = MAX_BYTES) -> Column:
@@ -31,18 +35,34 @@ def redact(text: Column | str, max_bytes: int | None = MAX_BYTES) -> Column:
     """
     source = F.col(text) if isinstance(text, str) else text
     marked = F.regexp_replace(source, F.lit(PATTERN), F.lit(f"$1$2{_MARK}"))
-    clean = F.replace(marked, F.lit(_MARK), F.lit(PLACEHOLDER))
-    if max_bytes is not None:
-        # The limit is tested after an ordinary character only: placeholders and
-        # "Bearer" at the very end may exceed it.
-        ordinary = F.regexp_replace(marked, F.lit(f"(?:{_MARK}|[Bb]earer)+$"), F.lit(""))
-        reaches = F.octet_length(F.replace(ordinary, F.lit(_MARK), F.lit(PLACEHOLDER))) >= max_bytes
-        clean = F.when(reaches, F.concat(_first_bytes(clean, max_bytes), F.lit(ELLIPSIS))).otherwise(clean)
-    return F.when(F.contains(source, F.lit(KEY_MATERIAL)), F.lit(KEY_MATERIAL_TEXT)).otherwise(clean)
+    finish = _spell_out if max_bytes is None else lambda m: _cut(m, max_bytes)
+    return F.when(F.contains(source, F.lit(KEY_MATERIAL)), F.lit(KEY_MATERIAL_TEXT)).otherwise(_once(marked, finish))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` a single time, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spell_out(marked: Column) -> Column:
+    return F.replace(marked, F.lit(_MARK), F.lit(PLACEHOLDER))
+
+
+def _cut(marked: Column, size: int) -> Column:
+    """Cut as soon as an ordinary character reaches the limit.
+
+    Placeholders and "Bearer" at the very end may exceed it. Only the first
+    ``size`` characters can matter for the result, as each is a byte or more.
+    """
+    ordinary = F.regexp_replace(marked, F.lit(f"(?:{_MARK}|[Bb]earer)+\\z"), F.lit(""))
+    reaches = F.octet_length(_spell_out(ordinary)) >= size
+    start = F.encode(_spell_out(F.left(marked, F.lit(size))), "UTF-8")
+    return F.when(reaches, F.concat(_once(start, lambda raw: _first_bytes(raw, size)), F.lit(ELLIPSIS))).otherwise(
+        _spell_out(marked)
+    )
 
 
-def _first_bytes(text: Column, size: int) -> Column:
+def _first_bytes(raw: Column, size: int) -> Column:
     """The longest prefix of at most ``size`` bytes made of whole characters."""
-    raw = F.encode(text, "UTF-8")
     prefixes = [F.substring(raw, 1, size - back).cast("string") for back in range(4)]
     return F.coalesce(*[F.when(F.is_valid_utf8(p), p) for p in prefixes])

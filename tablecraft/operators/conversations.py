@@ -195,7 +195,7 @@ def failures(scores: DataFrame) -> DataFrame:
     return scores.where(~F.col("passed"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_pattern(patterns: pd.Series) -> pd.Series:
     def good(p: str | None) -> bool:
         try:
