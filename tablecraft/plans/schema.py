@@ -251,6 +251,8 @@ def _shaped(value: Column, kind: T.DataType, f: Field) -> Column:
         return F.when(value.isNotNull(), F.struct(*parts))
     if f.canonical in ("NUMERIC", "BIGNUMERIC"):
         return round_numeric(value, f.rounding_mode, f.canonical)
+    if f.canonical == "JSON" and isinstance(kind, T.StringType):
+        return F.parse_json(value)
     return value.cast(f.spark_type())
 
 

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # TIME columns are off by default.
+    "spark.sql.timeType.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

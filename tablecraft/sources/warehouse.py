@@ -6,7 +6,7 @@ then publishes a new manifest naming the live ones; readers of the old version
 are undisturbed and a failed write leaves only unreferenced directories.
 
     <root>/<table>/_manifests/00000000000000000007.json
-    <root>/<table>/v=7-1f3a9c2e/_p_ts=2024-01-01/part-....parquet
+    <root>/<table>/__version=7-1f3a9c2e/_p_ts=2024-01-01/part-....parquet
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from tablecraft.operators.layout import COLLATIONS, LOAD_TIME_COLUMN, Layout, La
 from tablecraft.sources.files import Files, fresh_folder
 
 SEGMENT = "__segment"
+VERSION = "__version"
 NULL_DIRECTORY = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -157,7 +158,7 @@ class Warehouse:
         names = self._manifest_names(name)
         latest = self._load(name, names[-1])
         live = {s.split("/", 1)[0] for s in latest.segments}
-        stale = [d for d in self.files.child_dirs(self._folder(name)) if d.startswith("v=") and d not in live]
+        stale = [d for d in self.files.child_dirs(self._folder(name)) if d.startswith(f"{VERSION}=") and d not in live]
         for leaf in names[:-1]:
             self.files.delete(f"{self._folder(name)}/_manifests/{leaf}")
         for d in stale:
@@ -210,7 +211,7 @@ class Warehouse:
             .parquet(*[f"{base}/{s}" for s in self._shortest_paths(manifest, chosen)])
         )
         if located:
-            wanted.append(F.regexp_extract("_metadata.file_path", "/(v=[^/]+(?:/[^/]+=[^/]*)*)/[^/]+$", 1).alias(SEGMENT))
+            wanted.append(F.regexp_extract("_metadata.file_path", f"/({VERSION}=[^/]+(?:/[^/]+=[^/]*)*)/[^/]+$", 1).alias(SEGMENT))
         return df.select(*wanted)
 
     @staticmethod
@@ -266,6 +267,10 @@ class Warehouse:
         )
         for needed in layout.fields():
             base.column(needed)
+        taken = {VERSION, SEGMENT, *[r.column.lower() for r in layout.rules if r.hidden]}
+        clash = [c.name for c in described if c.name.lower() in taken]
+        if clash:
+            raise TableError(f"column names kept for directories: {', '.join(clash)}")
         added = self.write_segments(base, df)
         return self.commit(base, segments=added, written=self._counted(base, added, kept=()))
 
@@ -323,7 +328,7 @@ class Warehouse:
         directories = [base.directory(r) for r in base.layout.rules]
         clusters = [base.column(c).stored_as for c in base.layout.cluster_by]
         rows = Layout.arrange(fitted.select(*columns), directories, clusters)
-        folder = f"v={base.version + 1}-{uuid.uuid4().hex[:8]}"
+        folder = f"{VERSION}={base.version + 1}-{uuid.uuid4().hex[:8]}"
         writer = rows.write.mode("errorifexists")
         if directories:
             writer = writer.partitionBy(*directories)
