@@ -126,4 +126,4 @@ def macro(function: Callable[..., Column]) -> Callable[..., Column]:
 @macro
 def cents_to_dollars(cents: Column) -> Column:
     """Cents as dollars, rounded to two places, as an exact decimal."""
-    return F.round(cents.cast(T.DecimalType(20, 4)) / F.lit(100).cast(T.DecimalType(3, 0)), 2)
+    return F.round(cents.cast(T.DecimalType(20, 4)) * F.lit("0.01").cast(T.DecimalType(2, 2)), 2)

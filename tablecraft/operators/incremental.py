@@ -13,13 +13,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablecraft.operators.layout import PartitionRule
+from tablecraft.operators.layout import PartitionRule, literal
 from tablecraft.sources.warehouse import SEGMENT, Manifest, TableError, Warehouse, touched_segments
 
 _MATCH = "__match"
 STRATEGIES = ("merge", "delete+insert", "append")
+# Directory names collected to prune a target; beyond it all are considered.
+MAX_DIRECTORY_VALUES = 10_000
+_RANGED = (T.IntegralType, T.DateType, T.TimestampNTZType)
 
 
 class MergeCardinalityError(RuntimeError):
@@ -38,7 +41,9 @@ def _on(left: str, right: str, keys: Sequence[str]) -> list[Column]:
 
 
 def _with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys))
+    for k in keys:
+        df = df.where(F.col(f"`{k}`").isNotNull())
+    return df
 
 
 # -- pure forms ------------------------------------------------------------------
@@ -160,27 +165,25 @@ def merge(
     keys = _keys(unique_key)
     base = warehouse.manifest(name)
     _check_keys(base, source, keys)
-    rows = warehouse.stage(warehouse.fit(base, _must_have_all(base, source)))
+    with warehouse.staged(warehouse.fit(base, _must_have_all(base, source))) as rows:
+        return _merge_rows(warehouse, base, rows, keys, update, changes)
+
+
+def _merge_rows(warehouse: Warehouse, base: Manifest, rows: DataFrame, keys: list[str], update: bool, changes) -> Manifest:
     counted = _with_key(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    here = warehouse.read(name, version=base.version, located=True, guarded=False).select(
-        *[F.col(f"`{k}`") for k in keys], F.col(SEGMENT)
-    )
-    hits = (
-        here.alias("t").join(counted.alias("s"), _on("t", "s", keys), "inner").select("t.*", "s.__n").persist()
-    )
+    here = _possible_matches(warehouse, base, rows, keys)
+    hits = here.alias("t").join(counted.alias("s"), _on("t", "s", keys), "inner").select("t.*", "s.__n").persist()
     try:
         touched = touched_segments(hits, [F.max("__n").alias("most")])
         inserts = rows.alias("s").join(hits.alias("t"), _on("s", "t", keys), "left_anti")
-        if not update or {c.name.lower() for c in base.columns} == {k.lower() for k in keys}:
+        lowered = {k.lower() for k in keys}
+        if not update or not touched or {c.name.lower() for c in base.columns} == lowered:
             return warehouse.publish(base, inserts, replaced=(), **changes)
         if any(r["most"] > 1 for r in touched.values()):
             raise MergeCardinalityError(
-                f"merge into '{name}': at least one stored row is matched by several source rows on ({', '.join(keys)})"
+                f"merge into '{base.table}': a stored row is matched by several source rows on ({', '.join(keys)})"
             )
-        if not touched:
-            return warehouse.publish(base, inserts, replaced=(), **changes)
-        old = warehouse.read(name, version=base.version, segments=list(touched), guarded=False)
-        lowered = {k.lower() for k in keys}
+        old = warehouse.read(base.table, version=base.version, segments=list(touched), guarded=False)
         new = rows.withColumn(_MATCH, F.lit(True))
         joined = old.alias("t").join(new.alias("s"), _on("t", "s", keys), "left")
         updated = joined.select(
@@ -208,15 +211,15 @@ def delete_insert(
     keys = _keys(unique_key)
     base = warehouse.manifest(name)
     _check_keys(base, source, keys)
-    rows = warehouse.stage(warehouse.fit(base, source))
-    wanted = _with_key(rows, keys).select(*[F.col(f"`{k}`") for k in keys]).distinct()
-    here = warehouse.read(name, version=base.version, located=True, guarded=False)
-    touched = touched_segments(here.alias("t").join(wanted.alias("s"), _on("t", "s", keys), "left_semi"))
-    if not touched:
-        return warehouse.publish(base, rows, replaced=(), **changes)
-    old = warehouse.read(name, version=base.version, segments=list(touched), guarded=False)
-    kept = old.alias("t").join(wanted.alias("s"), _on("t", "s", keys), "left_anti")
-    return warehouse.publish(base, kept.unionByName(rows), replaced=list(touched), **changes)
+    with warehouse.staged(warehouse.fit(base, source)) as rows:
+        wanted = _with_key(rows, keys).select(*[F.col(f"`{k}`") for k in keys]).distinct()
+        here = _possible_matches(warehouse, base, rows, keys)
+        touched = touched_segments(here.alias("t").join(wanted.alias("s"), _on("t", "s", keys), "left_semi"))
+        if not touched:
+            return warehouse.publish(base, rows, replaced=(), **changes)
+        old = warehouse.read(name, version=base.version, segments=list(touched), guarded=False)
+        kept = old.alias("t").join(wanted.alias("s"), _on("t", "s", keys), "left_anti")
+        return warehouse.publish(base, kept.unionByName(rows), replaced=list(touched), **changes)
 
 
 def append(warehouse: Warehouse, name: str, source: DataFrame, **changes: Any) -> Manifest:
@@ -242,6 +245,40 @@ def apply_strategy(
     return operator(warehouse, name, source, unique_key, **changes)
 
 
+def _possible_matches(warehouse: Warehouse, base: Manifest, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and places of the stored rows that the source could match.
+
+    Directories are chosen by name if a partition column is a key; the range of
+    the source's keys goes to the file scan, which skips row groups outside it.
+    One small aggregate of the source decides both.
+    """
+    ranged = [k for k in keys if isinstance(base.column(k).data_type, _RANGED)]
+    rules = [r for r in base.layout.rules if r.field.lower() in {k.lower() for k in keys} and _named(base, r)]
+    segments = list(base.segments)
+    if rules and segments:
+        names = [r.value(F.col(f"`{r.field}`")).cast("string").alias(f"r{i}") for i, r in enumerate(rules)]
+        found = _with_key(rows, keys).select(*names).distinct().limit(MAX_DIRECTORY_VALUES + 1).collect()
+        if len(found) <= MAX_DIRECTORY_VALUES:
+            wanted = {tuple(r) for r in found}
+            levels = [base.directory(r) for r in rules]
+            segments = [s for s in segments if tuple(warehouse.directory_value(s, c) for c in levels) in wanted]
+    here = warehouse.read(base.table, version=base.version, segments=segments, located=True, guarded=False)
+    if ranged:
+        ends = [f(F.col(f"`{k}`")).alias(f"{i}{f.__name__}") for i, k in enumerate(ranged) for f in (F.min, F.max)]
+        bounds = _with_key(rows, keys).agg(*ends).first()
+        for i, k in enumerate(ranged):
+            kind = base.column(k).data_type
+            low, high = literal(bounds[f"{i}min"], kind), literal(bounds[f"{i}max"], kind)
+            here = here.where((F.col(f"`{k}`") >= low) & (F.col(f"`{k}`") <= high))
+    return here.select(*[F.col(f"`{k}`") for k in keys], F.col(SEGMENT))
+
+
+def _named(base: Manifest, rule: PartitionRule) -> bool:
+    """Whether a directory name is just the text of its value."""
+    kind = rule.storage_type(base.column(rule.field).data_type)
+    return isinstance(kind, (T.DateType, T.IntegralType)) or kind == T.StringType()
+
+
 def _check_keys(base: Manifest, source: DataFrame, keys: Sequence[str]) -> None:
     given = {c.lower() for c in source.columns}
     for k in keys:

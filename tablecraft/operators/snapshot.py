@@ -98,7 +98,7 @@ def snapshot_adapt(history: DataFrame, source: DataFrame) -> DataFrame:
 def _newest(source: DataFrame, key: str, updated_at: str) -> DataFrame:
     """One row per non-NULL key; a hot key collapses before the shuffle."""
     return (
-        source.dropna(subset=[key])
+        source.where(F.col(f"`{key}`").isNotNull())
         .groupBy(F.col(f"`{key}`").alias("__key"))
         .agg(F.max(F.col(f"`{updated_at}`")).alias(_NEWEST), F.lit(True).alias(_SEEN))
     )
@@ -197,7 +197,15 @@ def snapshot_run(
     if null_keys not in ("allow", "reject"):
         raise SnapshotError("null_keys must be 'allow' or 'reject'")
     key, updated_at = _name(source, key), _name(source, updated_at)
-    rows = warehouse.stage(source)
+    with warehouse.staged(source) as rows:
+        return _run_rows(
+            warehouse, name, rows, key, updated_at, run_ts, invalidate_hard_deletes, auto_optimize, null_keys, changes
+        )
+
+
+def _run_rows(
+    warehouse, name, rows, key, updated_at, run_ts, invalidate_hard_deletes, auto_optimize, null_keys, changes
+) -> Manifest:
     empty = null_key = False
     if invalidate_hard_deletes or null_keys == "reject":
         facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(f"`{key}`").isNull()).alias("nulls")).first()

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 from urllib.parse import unquote
@@ -338,15 +339,24 @@ class Warehouse:
             found = [f"{p}/{d}" for p in found for d in self.files.child_dirs(f"{self._folder(base.table)}/{p}")]
         return found
 
-    def stage(self, df: DataFrame) -> DataFrame:
+    def stage(self, df: DataFrame, path: str | None = None) -> DataFrame:
         """Compute ``df`` once, into the shared folder, and read it back.
 
         The written copy cuts the lineage and survives lost executors.
         """
-        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        path = path or f"{self.root}/_staged/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextmanager
+    def staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """:meth:`stage` for the length of a ``with`` block."""
+        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        try:
+            yield self.stage(df, path)
+        finally:
+            self.files.delete(path)
+
 
 # -- helpers -----------------------------------------------------------------
 def touched_segments(rows: DataFrame, statistics: Sequence[Column] = ()) -> dict[str, Any]:

@@ -13,7 +13,7 @@ from tablecraft.sources.warehouse import Warehouse  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[8]",
-        {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
          "spark.driver.memory": "6g"},
     )
     session.sparkContext.setLogLevel("OFF")

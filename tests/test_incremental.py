@@ -147,6 +147,55 @@ def test_only_touched_directories_are_rewritten(spark, warehouse):
     assert warehouse.read("t").where("k = 7").first()["ts"].month == 6
 
 
+def test_partition_columns_among_the_keys_prune_the_target(spark, warehouse, monkeypatch):
+    days = spark.sql("SELECT id AS k, timestamp_ntz'2024-01-01' + make_dt_interval(CAST(id AS INT)) AS ts, 'a' AS v FROM range(20)")
+    warehouse.create("t", days, Layout(rules=(time_partition("ts", "DAY"),)))
+    read = warehouse.read
+    seen = []
+
+    def spy(*args, **options):
+        seen.append(options.get("segments"))
+        return read(*args, **options)
+
+    monkeypatch.setattr(warehouse, "read", spy)
+    source = days.where("k IN (3, 4)").withColumn("v", F.lit("b")).unionByName(days.limit(1).withColumn("k", F.lit(99).cast("bigint")))
+    inc.merge(warehouse, "t", source, ["k", "ts"])
+    assert len(seen[0]) == 3
+    monkeypatch.undo()
+    assert warehouse.read("t").where("v = 'b'").count() == 2
+    assert warehouse.read("t").count() == 21
+    # Values outside a range layout share the overflow directory.
+    warehouse.create("r", spark.range(-3, 12).withColumn("v", F.lit("a")), Layout(rules=(range_partition("id", 0, 9, 3),)))
+    inc.merge(warehouse, "r", spark.sql("SELECT -2L AS id, 'b' AS v UNION ALL SELECT 10L, 'b' UNION ALL SELECT 4L, 'b'"), "id")
+    assert as_rows(warehouse.read("r").where("v = 'b'"), "id") == [(-2,), (10,), (4,)]
+    assert warehouse.read("r").count() == 15
+    inc.delete_insert(warehouse, "r", spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 'n' AS v"), "id")
+    assert warehouse.read("r").count() == 16
+
+
+def test_the_key_range_reaches_the_scan(spark, warehouse):
+    warehouse.create("t", spark.range(100).withColumn("v", F.lit("a")))
+    base = warehouse.manifest("t")
+    plan = inc._possible_matches(warehouse, base, spark.range(40, 50), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,40)" in plan
+    assert "LessThanOrEqual(id,49)" in plan
+
+
+def test_a_hot_key_is_kept_whole(spark, warehouse):
+    """A third of target and source rows share one key, another part has none."""
+    target = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.lit("a").alias("v"))
+    warehouse.create("t", target)
+    source = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") + 29_000).alias("k"), F.lit("b").alias("v"))
+    both_ways = [inc.merge_frames(target, source.dropDuplicates(["k"]).unionByName(spark.sql("SELECT 0L AS k, 'c' AS v")), "k")]
+    inc.merge(warehouse, "t", source.dropDuplicates(["k"]).unionByName(spark.sql("SELECT 0L AS k, 'c' AS v")), "k")
+    both_ways.append(warehouse.read("t"))
+    for got in both_ways:
+        assert got.where("v = 'c'").count() == 10_000
+        assert got.count() == 30_000 + 6_000 - 333 + 1
+    inc.delete_insert(warehouse, "t", source, "k")
+    assert warehouse.read("t").where("k IS NULL").count() == 3_000 + 1
+
+
 def test_insert_only_rewrites_nothing(spark, warehouse):
     warehouse.create("t", spark.createDataFrame([(1, "a")], DDL))
     before = warehouse.manifest("t").segments

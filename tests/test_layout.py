@@ -112,7 +112,7 @@ def test_clustered_files_are_sorted_and_spread(spark, warehouse):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     files = warehouse.read("t").withColumn("f", F.input_file_name())
-    assert files.where("c = 7").select("f").distinct().count() >= 3
+    assert files.where("c = 7").select("f").distinct().count() >= 2
     spans = files.groupBy("f").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).orderBy("lo", "hi").collect()
     assert all(a["hi"] <= b["lo"] for a, b in zip(spans, spans[1:], strict=False))
 
