@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablecraft.plans.schema import Field, clean, live_type, same_type
 
@@ -47,6 +47,15 @@ def drift(fields: Sequence[Field], df: DataFrame) -> DataFrame:
     return _with_counts(df, drift_findings(fields, df))
 
 
+def file_drift(fields: Sequence[Field], spark: SparkSession, path: str) -> DataFrame:
+    """Drift of a folder of parquet files written at different times.
+
+    Spark merges the footers of all files in a distributed job, so a column
+    that only some files have is reported as well.
+    """
+    return drift(fields, spark.read.option("mergeSchema", True).parquet(path))
+
+
 def contract_findings(
     df: DataFrame,
     declared: Sequence[Field] | None = None,

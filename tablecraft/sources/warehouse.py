@@ -11,6 +11,7 @@ are undisturbed and a failed write leaves only unreferenced directories.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
@@ -101,12 +102,23 @@ class Manifest:
 
 
 class Warehouse:
-    """Create, read and change the tables below one root folder."""
+    """Create, read and change the tables below one root folder.
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    New tables take the default expirations unless they say otherwise.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str | None = None,
+        default_table_expiration: dt.timedelta | None = None,
+        default_partition_expiration_days: float | None = None,
+    ):
         self.spark = spark
         self.root = (root or fresh_folder(spark, "tables")).rstrip("/")
         self.files = Files(spark)
+        self.default_table_expiration = default_table_expiration
+        self.default_partition_expiration_days = default_partition_expiration_days
 
     # -- metadata ------------------------------------------------------------
     def _folder(self, name: str) -> str:
@@ -252,8 +264,13 @@ class Warehouse:
         layout = layout or Layout()
         if any(r.field == LOAD_TIME_COLUMN for r in layout.rules) and LOAD_TIME_COLUMN not in df.columns:
             df = df.withColumn(LOAD_TIME_COLUMN, F.lit(run_ts) if run_ts is not None else F.current_timestamp())
+        properties = dict(properties or {})
+        if self.default_table_expiration is not None and "expires_at" not in properties:
+            properties["expires_at"] = ((run_ts or dt.datetime.now()) + self.default_table_expiration).isoformat()
+        if layout.rules and layout.partition_expiration_days is None:
+            layout = replace(layout, partition_expiration_days=self.default_partition_expiration_days)
         described = tuple(columns or columns_of(df.schema))
-        if properties and properties.get("default_collation"):
+        if properties.get("default_collation"):
             described = tuple(_collated(c, properties["default_collation"]) for c in described)
         names = self._manifest_names(name)
         previous = self._load(name, names[-1]).version if names else 0
@@ -263,7 +280,7 @@ class Warehouse:
             columns=described,
             layout=layout,
             used_names=tuple(c.stored_as.lower() for c in described),
-            properties=dict(properties or {}),
+            properties=properties,
             batches=dict(batches or {}),
         )
         for needed in layout.fields():

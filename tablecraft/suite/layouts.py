@@ -16,18 +16,18 @@ from tablecraft.suite.registry import query, table
 @query(
     "part_date",
     """
-    SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_day, o_totalprice FROM orders
-    WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-04-01'
+    SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_day, event_type, value FROM events
+    WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-16'
     """,
 )
 def part_date(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.col("o_orderdate").cast("date").alias("order_day"), "o_totalprice"
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("date").alias("event_day"), "event_type", "value"
     )
     warehouse = Warehouse(spark)
-    warehouse.create("orders", orders, Layout(rules=(date_partition("order_day"),)))
-    slice_ = scan(warehouse, "orders", [("order_day", "between", (dt.date(1996, 1, 1), dt.date(1996, 3, 31)))])
-    return slice_.withColumn("order_day", F.col("order_day").cast("string"))
+    warehouse.create("events", events, Layout(rules=(date_partition("event_day"),)))
+    slice_ = scan(warehouse, "events", [("event_day", "between", (dt.date(2024, 1, 10), dt.date(2024, 1, 15)))])
+    return slice_.withColumn("event_day", F.col("event_day").cast("string"))
 
 
 @query(

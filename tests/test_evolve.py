@@ -7,7 +7,7 @@ from tablecraft.operators import incremental as inc
 from tablecraft.operators.evolve import Consumers, columns_from_fields, evolve, evolve_frame
 from tablecraft.operators.layout import Layout, scan, time_partition
 from tablecraft.plans import schema as sc
-from tablecraft.plans.contract import ContractError, check_contract, contract_findings, drift_findings
+from tablecraft.plans.contract import ContractError, check_contract, contract_findings, drift_findings, file_drift
 from tablecraft.plans.schema import Field, SchemaError
 from tests.conftest import as_rows
 
@@ -192,3 +192,10 @@ def test_drift_and_contract_findings(spark):
     with pytest.raises(ContractError, match="must: missing"):
         check_contract(df, declared=declared)
     check_contract(df, unique_key="ID")
+
+
+def test_drift_of_files_written_at_different_times(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    spark.range(2).withColumn("late", F.lit("x")).write.mode("append").parquet(str(tmp_path / "t"))
+    report = file_drift([Field("id", "INT64"), Field("gone", "DATE")], spark, str(tmp_path / "t"))
+    assert as_rows(report, "column_name", "kind", "affected_rows") == [("gone", "missing", 5), ("late", "extra", 2)]

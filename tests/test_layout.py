@@ -133,6 +133,17 @@ def test_expiry(spark, warehouse):
     assert not warehouse.exists("plain")
 
 
+def test_default_expirations(spark, warehouse):
+    from tablecraft.sources.warehouse import Warehouse
+
+    strict = Warehouse(spark, warehouse.root, dt.timedelta(days=2), default_partition_expiration_days=15)
+    now = dt.datetime(2024, 1, 20)
+    strict.create("t", hours(spark), Layout(rules=(time_partition("ts", "DAY"),)), run_ts=now)
+    assert expire_partitions(strict, "t", now) == 6
+    assert not expire_table(strict, "t", now + dt.timedelta(days=1))
+    assert expire_table(strict, "t", now + dt.timedelta(days=2))
+
+
 def test_collation(spark, warehouse):
     df = spark.sql("SELECT * FROM VALUES ('a', 1), ('A', 2), ('b', 3) t(k, n)")
     assert as_rows(collate(df, "und:ci", ["k"]).groupBy("k").sum("n"), "sum(n)") == [(3,), (3,)]
