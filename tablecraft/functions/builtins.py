@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablecraft.operators.layout import literal
 from tablecraft.operators.ordered import fold_in_order
 
 # Fixed value: what a NULL contributes to a surrogate key.
@@ -25,7 +26,7 @@ class MacroError(ValueError):
 
 def now(run_ts: dt.datetime | None = None) -> Column:
     """The run's clock: a fixed literal in a run, the wall clock outside one."""
-    return F.lit(run_ts) if run_ts is not None else F.current_timestamp()
+    return literal(run_ts, T.TimestampType()) if run_ts is not None else F.current_timestamp()
 
 
 def _part(name: str) -> str:

@@ -50,28 +50,35 @@ def _check(name: str, body: str, args: Sequence[Argument]) -> None:
 
 def create_function(
     spark: SparkSession, name: str, args: Sequence[Argument], body: str, returns: str | None = None,
-    description: str = "", deterministic: bool = True,
+    description: str = "", deterministic: bool = True, temporary: bool = True,
 ) -> None:
-    """A SQL scalar function. Catalyst inlines the body into each query."""
+    """A SQL scalar function. Catalyst inlines the body into each query.
+
+    A function that is not temporary is kept in the catalog.
+    """
     _check(name, body, args)
     result = f" RETURNS {_spark_name(returns)}" if returns else ""
     spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_signature(args)}){result}{_traits(description, deterministic)} RETURN {body}"
+        f"CREATE OR REPLACE {_kept(temporary)}FUNCTION {name}({_signature(args)}){result}{_traits(description, deterministic)} RETURN {body}"
     )
 
 
 def create_table_function(
     spark: SparkSession, name: str, args: Sequence[Argument], query: str,
-    returns: Sequence[Argument], description: str = "", deterministic: bool = True,
+    returns: Sequence[Argument], description: str = "", deterministic: bool = True, temporary: bool = True,
 ) -> None:
     """A SQL function that returns a table; the query is inlined as well."""
     _check(name, query, args)
     spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_signature(args)}) RETURNS TABLE({_signature(returns)})"
+        f"CREATE OR REPLACE {_kept(temporary)}FUNCTION {name}({_signature(args)}) RETURNS TABLE({_signature(returns)})"
         f"{_traits(description, deterministic)} RETURN {query}"
     )
 
 
+def _kept(temporary: bool) -> str:
+    return "TEMPORARY " if temporary else ""
+
+
 def _traits(description: str, deterministic: bool) -> str:
     comment = " COMMENT '" + description.replace("'", "\\'") + "'" if description else ""
     return comment + ("" if deterministic else " NOT DETERMINISTIC")

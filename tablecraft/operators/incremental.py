@@ -10,7 +10,8 @@ inserted again by merge and never deleted by delete+insert.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import datetime as dt
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -122,7 +123,7 @@ def duplicate_matches(target: DataFrame, source: DataFrame, unique_key: str | Se
 def high_water_mark(warehouse: Warehouse, name: str, column: str) -> Any:
     """MAX of ``column`` in a stored table (None when it is empty).
 
-    A table partitioned by that column is asked only for its newest directory.
+    A timestamp comes with its zone (UTC). A table partitioned by that column is asked only for its newest directory.
     """
     manifest = warehouse.manifest(name)
     segments = None
@@ -132,8 +133,13 @@ def high_water_mark(warehouse: Warehouse, name: str, column: str) -> Any:
         known = [v for v in values.values() if v is not None]
         if known:
             segments = [s for s, v in values.items() if v == max(known)]
-    row = warehouse.read(name, segments=segments, guarded=False).agg(F.max(F.col(f"`{column}`")).alias("m")).first()
-    return row["m"]
+    top = F.max(F.col(f"`{column}`"))
+    zoned = isinstance(manifest.column(column).data_type, T.TimestampType)
+    rows = warehouse.read(name, version=manifest.version, segments=segments, guarded=False)
+    found = rows.agg((F.unix_micros(top) if zoned else top).alias("m")).first()["m"]
+    if zoned and found is not None:
+        return dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + dt.timedelta(microseconds=found)
+    return found
 
 
 def _ordered_by_name(rule: PartitionRule, manifest: Manifest) -> bool:
@@ -149,7 +155,9 @@ def newer_than(df: DataFrame, column: str, mark: Any) -> DataFrame:
     As in SQL, a NULL mark (an empty table) lets nothing through; the caller
     decides on a full build instead.
     """
-    return df.where(F.col(f"`{column}`") > F.lit(mark)) if mark is not None else df.where(F.lit(False))
+    if mark is None:
+        return df.where(F.lit(False))
+    return df.where(F.col(f"`{column}`") > literal(mark, df.schema[column].dataType))
 
 
 # -- table forms -------------------------------------------------------------------

@@ -269,10 +269,16 @@ Filter = tuple[str, str, Any]
 
 
 def literal(value: Any, kind: T.DataType | None = None) -> Column:
-    """A literal; dates and times take the column's type, whatever the local zone."""
-    if isinstance(value, (dt.datetime, dt.date)) and kind is not None:
-        return F.lit(value.isoformat()).cast(kind)
-    return F.lit(value)
+    """A literal of the column's type, whatever the zone of the Python process.
+
+    A time without zone is meant in the session's zone.
+    """
+    if not isinstance(value, (dt.datetime, dt.date)) or kind is None:
+        return F.lit(value)
+    if isinstance(value, dt.datetime) and value.tzinfo is not None:
+        since = value - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+        return F.timestamp_micros(F.lit(since // dt.timedelta(microseconds=1))).cast(kind)
+    return F.lit(value.isoformat()).cast(kind)
 
 
 def condition(name: str, op: str, value: Any, kind: T.DataType | None = None) -> Column:
@@ -308,7 +314,12 @@ def scan(warehouse, name: str, where: Iterable[Filter] = ()) -> DataFrame:
         raise LayoutError(
             f"table '{name}' requires a filter on its partition column ({', '.join(sorted(fields))})"
         )
-    by_field = [(r, op, v) for n, op, v in filters for r in manifest.layout.rules if r.field.lower() == n.lower()]
+    by_field = [
+        (r, op, v)
+        for n, op, v in filters
+        for r in manifest.layout.rules
+        if r.field.lower() == n.lower() and warehouse.same_zone(manifest)
+    ]
     wanted = []
     for segment in manifest.segments:
         holds = (
@@ -319,13 +330,11 @@ def scan(warehouse, name: str, where: Iterable[Filter] = ()) -> DataFrame:
             wanted.append(segment)
     df = warehouse.read(name, version=manifest.version, segments=wanted, directories=True, guarded=False)
     for column, op, value in filters:
-        kind = manifest.column(column).data_type
-        for rule in manifest.layout.rules:
-            if rule.field.lower() == column.lower():
-                implied = rule.implied(op, value, kind)
-                if implied is not None:
-                    df = df.where(implied)
-        df = df.where(condition(column, op, value, kind))
+        df = df.where(condition(column, op, value, manifest.column(column).data_type))
+    for rule, op, value in by_field:
+        implied = rule.implied(op, value, manifest.column(rule.field).data_type)
+        if implied is not None:
+            df = df.where(implied)
     return df.select(*[F.col(f"`{c.name}`") for c in manifest.columns])
 
 

@@ -21,16 +21,17 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import inspect
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablecraft.functions import builtins as fn
 from tablecraft.operators import incremental as inc
 from tablecraft.operators.evolve import columns_from_fields
-from tablecraft.operators.layout import Layout, literal
+from tablecraft.operators.layout import Filter, Layout, condition, scan
 from tablecraft.plans.contract import check_contract
 from tablecraft.plans.schema import Field
 from tablecraft.sources.warehouse import Manifest, Warehouse
@@ -115,8 +116,9 @@ class Context:
     def source(self, source: str, table: str) -> DataFrame:
         return self._project.source(source, table)
 
-    def ref(self, model: str) -> DataFrame:
-        return self._run.ref(model, asking=self._model.name)
+    def ref(self, model: str, where: Iterable[Filter] = ()) -> DataFrame:
+        """Another model's result; filters on its partition column prune it."""
+        return self._run.ref(model, asking=self._model.name, where=where)
 
     def this(self) -> DataFrame:
         """The model's own table as it was before this run."""
@@ -127,9 +129,7 @@ class Context:
     def newer(self, df: DataFrame, column: str, this_column: str | None = None) -> DataFrame:
         """Rows above the highest value stored so far, as a pushed-down literal."""
         mark = inc.high_water_mark(self._project.warehouse, self._model.name, this_column or column)
-        if mark is None:
-            return df.where(F.lit(False))
-        return df.where(F.col(f"`{column}`") > literal(mark, df.schema[column].dataType))
+        return inc.newer_than(df, column, mark)
 
     def var(self, name: str) -> Column:
         return F.lit(self.var_value(name))
@@ -163,15 +163,18 @@ class _Run:
         finally:
             self._open.pop()
 
-    def ref(self, name: str, asking: str) -> DataFrame:
+    def ref(self, name: str, asking: str, where: Iterable[Filter] = ()) -> DataFrame:
         model = self._project.find(name, asking)
         if model.materialized in ("ephemeral", "view"):
             if name not in self._frames:
                 self._frames[name] = self.body(model)
-            return self._frames[name]
+            df = self._frames[name]
+            for column, op, value in where:
+                df = df.where(condition(column, op, value, df.schema[column].dataType))
+            return df
         if not self._project.warehouse.exists(name):
             raise ProjectError(f"model '{name}' has not been run yet (needed by '{asking}')")
-        return self._project.warehouse.read(name, guarded=False)
+        return scan(self._project.warehouse, name, where)
 
 
 class Project:
@@ -258,9 +261,16 @@ class Project:
         place = tables[table]
         return self.spark.read.parquet(place) if "/" in place else self.spark.table(place)
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, where: Iterable[Filter] = ()) -> DataFrame:
         """The current result of a model, stored or not."""
-        return _Run(self, dt.datetime.now()).ref(name, asking="read")
+        return _Run(self, self._clock(None)).ref(name, asking="read", where=where)
+
+    def _clock(self, ts: dt.datetime | None) -> dt.datetime:
+        """A point in time with its zone; without one the session's is meant."""
+        if ts is None:
+            return dt.datetime.now(dt.UTC)
+        zone = ZoneInfo(self.spark.conf.get("spark.sql.session.timeZone"))
+        return ts if ts.tzinfo is not None else ts.replace(tzinfo=zone)
 
     # -- running -------------------------------------------------------------------
     def run(self, name: str, run_ts: dt.datetime | None = None, full_refresh: bool = False) -> Manifest | None:
@@ -270,7 +280,7 @@ class Project:
         later runs of an incremental model apply its strategy.
         """
         model = self.find(name)
-        run = _Run(self, run_ts or dt.datetime.now())
+        run = _Run(self, self._clock(run_ts))
         if model.materialized == "ephemeral":
             run.body(model)
             return None
@@ -323,7 +333,7 @@ class Project:
             self.run(name, run_ts=now)
             return True
         manifest = self.warehouse.manifest(name)
-        age = now - dt.datetime.fromisoformat(manifest.properties[_REFRESHED])
+        age = self._clock(now) - dt.datetime.fromisoformat(manifest.properties[_REFRESHED])
         limits = []
         if model.enable_refresh:
             limits.append(dt.timedelta(minutes=model.refresh_interval_minutes or DEFAULT_REFRESH_MINUTES))

@@ -22,7 +22,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tablecraft.operators.layout import COLLATIONS, LOAD_TIME_COLUMN, Layout, LayoutError, PartitionRule
+from tablecraft.operators.layout import COLLATIONS, LOAD_TIME_COLUMN, Layout, LayoutError, PartitionRule, literal
 from tablecraft.sources.files import Files, fresh_folder
 
 SEGMENT = "__segment"
@@ -263,10 +263,13 @@ class Warehouse:
         """Create or replace a table with the rows of ``df``."""
         layout = layout or Layout()
         if any(r.field == LOAD_TIME_COLUMN for r in layout.rules) and LOAD_TIME_COLUMN not in df.columns:
-            df = df.withColumn(LOAD_TIME_COLUMN, F.lit(run_ts) if run_ts is not None else F.current_timestamp())
+            df = df.withColumn(
+                LOAD_TIME_COLUMN, literal(run_ts, T.TimestampType()) if run_ts is not None else F.current_timestamp()
+            )
         properties = dict(properties or {})
         if self.default_table_expiration is not None and "expires_at" not in properties:
-            properties["expires_at"] = ((run_ts or dt.datetime.now()) + self.default_table_expiration).isoformat()
+            created = (run_ts or dt.datetime.now(dt.UTC)).replace(tzinfo=None)
+            properties["expires_at"] = (created + self.default_table_expiration).isoformat()
         if layout.rules and layout.partition_expiration_days is None:
             layout = replace(layout, partition_expiration_days=self.default_partition_expiration_days)
         described = tuple(columns or columns_of(df.schema))
@@ -285,6 +288,8 @@ class Warehouse:
         )
         for needed in layout.fields():
             base.column(needed)
+        if self._zoned(base):
+            base = replace(base, properties={**base.properties, "time_zone": self._zone()})
         taken = {VERSION, SEGMENT, *[r.column.lower() for r in layout.rules if r.hidden]}
         clash = [c.name for c in described if c.name.lower() in taken]
         if clash:
@@ -339,7 +344,25 @@ class Warehouse:
             out.append(_as_stored(value, c).alias(c.name))
         return df.select(*out, *[F.col(f"`{e}`") for e in extra])
 
+    def _zone(self) -> str:
+        return self.spark.conf.get("spark.sql.session.timeZone")
+
+    @staticmethod
+    def _zoned(base: Manifest) -> bool:
+        """Whether directory names depend on the session's time zone."""
+        return any(
+            r.kind == "trunc" and isinstance(base.column(r.field).data_type, T.TimestampType) for r in base.layout.rules
+        )
+
+    def same_zone(self, base: Manifest) -> bool:
+        """Whether directory names mean here what they meant to the writer."""
+        return base.properties.get("time_zone", self._zone()) == self._zone()
+
     def write_segments(self, base: Manifest, df: DataFrame) -> list[str]:
+        if not self.same_zone(base):
+            raise LayoutError(
+                f"table '{base.table}' is partitioned in time zone {base.properties['time_zone']}, the session is in {self._zone()}"
+            )
         fitted = self.fit(base, df)
         columns = [F.col(f"`{c.name}`").alias(c.stored_as) for c in base.columns]
         columns += [r.value(F.col(f"`{r.field}`")).alias(r.column) for r in base.layout.rules if r.hidden]

@@ -109,6 +109,9 @@ def test_scalar_and_table_functions(spark):
     assert spark.sql("SELECT t_any('x')").first()[0] == "X"
     create_table_function(spark, "t_upto", [Argument("n", "INT64")], "SELECT id FROM range(10) WHERE id < n", [Argument("id", "INT64")])
     assert spark.sql("SELECT count(*) FROM t_upto(4)").first()[0] == 4
+    create_function(spark, "t_kept", [Argument("a", "INT64")], "a * 2", "INT64", temporary=False)
+    assert spark.sql("SELECT t_kept(4)").first()[0] == 8
+    spark.sql("DROP FUNCTION t_kept")
     with pytest.raises(RoutineError, match="name and a body"):
         create_function(spark, "t_bad", [], " ")
     with pytest.raises(RoutineError, match="unknown mode"):

@@ -160,3 +160,30 @@ def test_literals_take_the_column_type(spark):
     assert row.schema["x"].dataType == T.TimestampNTZType()
     assert row.first()["x"] == dt.datetime(2024, 1, 1, 2)
     assert PartitionRule("range", "x", "_p_x", start=0, end=10, interval=5).may_hold("0", "==", 7) is False
+
+
+def test_zoned_timestamps(spark, warehouse):
+    """Directory names follow the writer's zone; another zone reads all, but right."""
+    df = spark.sql("SELECT id, TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts FROM range(72)")
+    warehouse.create("t", df, Layout(rules=(time_partition("ts", "DAY"),)))
+    where = [("ts", ">=", dt.datetime(2024, 1, 2, 20, tzinfo=dt.UTC))]
+    assert scan(warehouse, "t", [("ts", ">=", dt.datetime(2024, 1, 2, 20))]).count() == 28
+    assert scan(warehouse, "t", where).count() == 28
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert scan(warehouse, "t", where).count() == 28
+        assert scan(warehouse, "t", [("ts", "<", dt.datetime(2024, 1, 1, 10))]).count() == 1
+        with pytest.raises(LayoutError, match="time zone UTC"):
+            warehouse.append("t", df)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_high_water_mark_of_a_zoned_timestamp(spark, warehouse):
+    from tablecraft.operators.incremental import high_water_mark, newer_than
+
+    df = spark.sql("SELECT id, TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts FROM range(72)")
+    warehouse.create("t", df.where("id < 50"))
+    mark = high_water_mark(warehouse, "t", "ts")
+    assert mark == dt.datetime(2024, 1, 3, 1, tzinfo=dt.UTC)
+    assert newer_than(df, "ts", mark).count() == 22

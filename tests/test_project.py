@@ -256,3 +256,19 @@ def test_options_are_stored(project):
     found = project.warehouse.manifest("m")
     assert (found.properties["description"], found.properties["friendly_name"], found.properties["labels"]) == ("d", "f", {"a": "b"})
     assert project.read("m").first()["run_ts"] == dt.datetime(2024, 2, 3)
+
+
+def test_references_carry_filters(project):
+    @project.model(partition_by={"field": "at", "data_type": "datetime"}, require_partition_filter=True)
+    def days(ctx):
+        return ctx.spark.sql("SELECT id, timestamp_ntz'2024-01-01' + make_dt_interval(CAST(id AS INT)) AS at FROM range(10)")
+
+    @project.model(materialized="ephemeral")
+    def late(ctx):
+        return ctx.ref("days", where=[("at", ">=", dt.datetime(2024, 1, 8))])
+
+    project.run("days")
+    assert len(project.read("late").inputFiles()) == 3
+    assert project.read("late", where=[("id", "<", 9)]).count() == 2
+    with pytest.raises(LayoutError, match="requires a filter"):
+        project.read("days")
