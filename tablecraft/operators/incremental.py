@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecraft.operators.layout import PartitionRule, literal
-from tablecraft.sources.warehouse import SEGMENT, Manifest, TableError, Warehouse, touched_segments
+from tablecraft.sources.warehouse import FILE, Manifest, TableError, Warehouse, touched_segments
 
 _MATCH = "__match"
 STRATEGIES = ("merge", "delete+insert", "append")
@@ -182,12 +182,12 @@ def _merge_rows(warehouse: Warehouse, base: Manifest, rows: DataFrame, keys: lis
     here = _possible_matches(warehouse, base, rows, keys)
     hits = here.alias("t").join(counted.alias("s"), _on("t", "s", keys), "inner").select("t.*", "s.__n").persist()
     try:
-        touched = touched_segments(hits, [F.max("__n").alias("most")])
+        touched = touched_segments(hits, F.col("__n"))
         inserts = rows.alias("s").join(hits.alias("t"), _on("s", "t", keys), "left_anti")
         lowered = {k.lower() for k in keys}
         if not update or not touched or {c.name.lower() for c in base.columns} == lowered:
             return warehouse.publish(base, inserts, replaced=(), **changes)
-        if any(r["most"] > 1 for r in touched.values()):
+        if any(n > 1 for n in touched.values()):
             raise MergeCardinalityError(
                 f"merge into '{base.table}': a stored row is matched by several source rows on ({', '.join(keys)})"
             )
@@ -278,7 +278,7 @@ def _possible_matches(warehouse: Warehouse, base: Manifest, rows: DataFrame, key
             kind = base.column(k).data_type
             low, high = literal(bounds[f"{i}min"], kind), literal(bounds[f"{i}max"], kind)
             here = here.where((F.col(f"`{k}`") >= low) & (F.col(f"`{k}`") <= high))
-    return here.select(*[F.col(f"`{k}`") for k in keys], F.col(SEGMENT))
+    return here.select(*[F.col(f"`{k}`") for k in keys], F.col(FILE))
 
 
 def _named(base: Manifest, rule: PartitionRule) -> bool:

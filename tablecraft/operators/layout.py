@@ -195,26 +195,30 @@ class Layout:
 
     # -- writing -----------------------------------------------------------
     @staticmethod
-    def arrange(df: DataFrame, directories: Sequence[str], cluster_columns: Sequence[str]) -> DataFrame:
+    def arrange(
+        df: DataFrame, directories: Sequence[str], cluster_columns: Sequence[str], whole: bool = True
+    ) -> DataFrame:
         """Distribute rows for the write.
 
-        Partitioned only: ``REBALANCE`` on the partition columns, so that AQE
-        joins small directories into one file and splits a hot one over many
-        tasks. Clustered: range partitioning on partition and cluster columns
-        plus a row hash, so that one hot value is spread as well.
+        ``REBALANCE`` on the partition columns lets AQE join small directories
+        into one file and split a hot one over many tasks. A clustered table
+        that is written whole is range-partitioned on partition and cluster
+        columns plus a row hash, so that one hot value is spread as well. Range
+        bounds need a sampling pass over the input, so increments, which come
+        out of joins, are only sorted within their files.
         """
+        order = [F.col(f"`{c}`") for c in (*directories, *cluster_columns)]
         if not cluster_columns:
             return df.hint("rebalance", *directories) if directories else df
+        if not whole:
+            return df.hint("rebalance", *directories).sortWithinPartitions(*order)
         spread = F.xxhash64(*[
             F.col(f"`{f.name}`")
             for f in df.schema.fields
             if isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
             or f.dataType == T.StringType()
         ] or [F.lit(0)])
-        order = [*directories, *cluster_columns]
-        return df.repartitionByRange(*[F.col(f"`{c}`") for c in order], spread).sortWithinPartitions(
-            *[F.col(f"`{c}`") for c in order]
-        )
+        return df.repartitionByRange(*order, spread).sortWithinPartitions(*order)
 
     # -- (de)serialisation -------------------------------------------------
     def to_json(self) -> dict:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecraft.operators.layout import Layout, PartitionRule, literal, time_partition
 from tablecraft.sources.warehouse import (
-    SEGMENT, Manifest, TableError, Warehouse, columns_of, touched_segments,
+    FILE, Manifest, TableError, Warehouse, columns_of, touched_segments,
 )
 
 # The bookkeeping columns of a history table.
@@ -218,45 +218,74 @@ def _run_rows(
         )
 
     base = _widened(warehouse.manifest(name), rows)
-    newest = _newest(rows, key, updated_at)
     open_rule = next((r for r in base.layout.rules if r.kind == "is_null"), None)
     candidates = [
         s for s in base.segments if open_rule is None or warehouse.directory_value(s, open_rule.column) == "true"
     ]
-    ends = _changed()
-    if invalidate_hard_deletes:
-        ends = ends | _gone(F.col(f"`{key}`"), F.lit(empty), F.lit(null_key))
-    narrow = (
+    is_open = F.col(VALID_TO).isNull()
+    run_time = literal(run_ts, base.column(VALID_TO).data_type)
+    opened = (
         warehouse.read(name, version=base.version, segments=candidates, located=True, guarded=False)
-        .where(F.col(VALID_TO).isNull())
-        .select(F.col(f"`{key}`"), UPDATED_AT, SEGMENT)
-    )
-    flagged = (
-        _flag(narrow, newest, key)
-        .select(F.col(f"`{key}`"), SEGMENT, _changed().alias("changed"), ends.alias("ends"))
-        .persist()
+        .where(is_open)
+        .select(F.col(f"`{key}`").alias("__open"), F.col(UPDATED_AT).alias("__dated"), FILE)
     )
+    if empty and invalidate_hard_deletes:
+        touched = list(touched_segments(opened))
+        old = warehouse.read(name, version=base.version, segments=touched, guarded=False)
+        closed = old.withColumn(VALID_TO, F.when(is_open, run_time).otherwise(F.col(VALID_TO)))
+        return warehouse.publish(base, closed, replaced=touched, **changes)
+
+    # NULL keys match nothing and never close: they stay out of the joins.
+    opened = opened.where(F.col("__open").isNotNull())
+    delta = _delta(opened, _newest(rows, key, updated_at), invalidate_hard_deletes and not null_key).persist()
     try:
-        touched = list(touched_segments(flagged.where("ends")))
-        remaining = flagged.where("NOT changed").select(F.col(f"`{key}`"))
-        fresh = rows.alias("s").join(
-            remaining.alias("r"), F.col(f"s.`{key}`") == F.col(f"r.`{key}`"), "left_anti"
+        touched = list(touched_segments(delta.where("NOT new")))
+        closing = (
+            delta.where("NOT new").groupBy("__key").agg(F.max(_NEWEST).alias(_NEWEST), F.max("gone").alias("gone"))
         )
+        fresh = _without_open_row(rows, delta, closing, opened, key)
         result = _versions(fresh, key, updated_at, run_ts)
         if touched:
-            clock = base.column(VALID_TO).data_type
             old = warehouse.read(name, version=base.version, segments=touched, guarded=False)
-            is_open = F.col(VALID_TO).isNull()
+            ends = F.coalesce(F.col("gone") | (F.col(_NEWEST) > F.col(UPDATED_AT)), F.lit(False))
             stepped = (
-                _flag(old, newest, key)
-                .withColumn(VALID_TO, F.when(is_open & ends, literal(run_ts, clock)).otherwise(F.col(VALID_TO)))
-                .drop(_NEWEST, _SEEN)
+                old.join(closing, F.col(f"`{key}`") == F.col("__key"), "left")
+                .withColumn(VALID_TO, F.when(is_open & ends, run_time).otherwise(F.col(VALID_TO)))
+                .drop("__key", _NEWEST, "gone")
             )
             result = stepped.unionByName(result, allowMissingColumns=True)
-        result = _with_all_columns(result, base)
-        return warehouse.publish(base, result, replaced=touched, **changes)
+        return warehouse.publish(base, _with_all_columns(result, base), replaced=touched, **changes)
     finally:
-        flagged.unpersist()
+        delta.unpersist()
+
+
+def _delta(opened: DataFrame, newest: DataFrame, hard_deletes: bool) -> DataFrame:
+    """What a run changes: open rows that end, and keys without an open row.
+
+    One join of two narrow sides; the result is the increment, so the joins of
+    whole rows against it are against a small side unless much has changed.
+    """
+    changed = F.coalesce(F.col(_NEWEST) > F.col("__dated"), F.lit(False))
+    gone = F.col(_SEEN).isNull() if hard_deletes else F.lit(False)
+    joined = opened.join(newest, F.col("__open") == F.col("__key"), "full_outer" if hard_deletes else "right")
+    return joined.select(
+        F.coalesce("__key", "__open").alias("__key"), _NEWEST, FILE, F.col("__open").isNull().alias("new"), gone.alias("gone"),
+        changed.alias("changed"),
+    ).where("new OR gone OR changed")
+
+
+def _without_open_row(rows: DataFrame, delta: DataFrame, closing: DataFrame, opened: DataFrame, key: str) -> DataFrame:
+    """Source rows whose key keeps no open row: new keys, changed keys, NULL keys."""
+    k = F.col(f"`{key}`")
+    still_open = (
+        opened.join(closing.where("NOT gone"), F.col("__open") == F.col("__key"))
+        .where(~F.coalesce(F.col(_NEWEST) > F.col("__dated"), F.lit(False)))
+        .select("__open")
+    )
+    found = delta.where("NOT gone").select("__key").distinct()
+    wanted = found.join(still_open, F.col("__key") == F.col("__open"), "left_anti")
+    keyed = rows.alias("s").join(wanted.alias("w"), F.col(f"s.`{key}`") == F.col("w.__key"), "left_semi")
+    return keyed.unionByName(rows.where(k.isNull()))
 
 
 def _widened(base: Manifest, source: DataFrame) -> Manifest:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablecraft.operators.layout import COLLATIONS, LOAD_TIME_COLUMN, Layout, LayoutError, PartitionRule, literal
 from tablecraft.sources.files import Files, fresh_folder
 
-SEGMENT = "__segment"
+FILE = "__file"
 VERSION = "__version"
 NULL_DIRECTORY = "__HIVE_DEFAULT_PARTITION__"
 
@@ -199,8 +199,8 @@ class Warehouse:
         """The table as a lazy DataFrame.
 
         ``segments`` limits the read to some directories, ``directories`` adds
-        the hidden partition columns, ``located`` adds the directory each row
-        came from. Tables that require a partition filter are read with
+        the hidden partition columns, ``located`` adds the file each row came
+        from. Tables that require a partition filter are read with
         :func:`tablecraft.operators.layout.scan` (``guarded=False`` skips that).
         """
         manifest = self.manifest(name, version)
@@ -216,7 +216,7 @@ class Warehouse:
         schema = self._file_schema(manifest)
         if not chosen:
             df = self.spark.createDataFrame([], schema).select(*wanted)
-            return df.withColumn(SEGMENT, F.lit(None).cast("string")) if located else df
+            return df.withColumn(FILE, F.lit(None).cast("string")) if located else df
         base = self._folder(name)
         df = (
             self.spark.read.schema(schema)
@@ -224,7 +224,7 @@ class Warehouse:
             .parquet(*[f"{base}/{s}" for s in self._shortest_paths(manifest, chosen)])
         )
         if located:
-            wanted.append(F.regexp_extract("_metadata.file_path", f"/({VERSION}=[^/]+(?:/[^/]+=[^/]*)*)/[^/]+$", 1).alias(SEGMENT))
+            wanted.append(F.col("_metadata.file_path").alias(FILE))
         return df.select(*wanted)
 
     @staticmethod
@@ -290,7 +290,7 @@ class Warehouse:
             base.column(needed)
         if self._zoned(base):
             base = replace(base, properties={**base.properties, "time_zone": self._zone()})
-        taken = {VERSION, SEGMENT, *[r.column.lower() for r in layout.rules if r.hidden]}
+        taken = {VERSION, FILE, *[r.column.lower() for r in layout.rules if r.hidden]}
         clash = [c.name for c in described if c.name.lower() in taken]
         if clash:
             raise TableError(f"column names kept for directories: {', '.join(clash)}")
@@ -300,17 +300,22 @@ class Warehouse:
     def overwrite(self, name: str, df: DataFrame, **changes: Any) -> Manifest:
         """Replace all rows; columns, layout and properties stay."""
         base = self.manifest(name)
-        return self.publish(base, df, replaced=base.segments, **changes)
+        return self.publish(base, df, replaced=base.segments, whole=True, **changes)
 
     def append(self, name: str, df: DataFrame, **changes: Any) -> Manifest:
         """Add rows; nothing already stored is read or rewritten."""
         return self.publish(self.manifest(name), df, replaced=(), **changes)
 
-    def publish(self, base: Manifest, df: DataFrame | None, replaced: Sequence[str], **changes: Any) -> Manifest:
-        """Write ``df`` and swap it in for the ``replaced`` directories."""
-        added = self.write_segments(base, df) if df is not None else []
+    def publish(
+        self, base: Manifest, df: DataFrame, replaced: Sequence[str], whole: bool = False, **changes: Any
+    ) -> Manifest:
+        """Write ``df`` and swap it in for the ``replaced`` directories.
+
+        ``whole`` says that these are all rows of the table.
+        """
         gone = set(replaced)
         kept = [s for s in base.segments if s not in gone]
+        added = self.write_segments(base, df, whole)
         return self.commit(base, segments=[*kept, *added], written=self._counted(base, added, kept), **changes)
 
     @staticmethod
@@ -358,7 +363,7 @@ class Warehouse:
         """Whether directory names mean here what they meant to the writer."""
         return base.properties.get("time_zone", self._zone()) == self._zone()
 
-    def write_segments(self, base: Manifest, df: DataFrame) -> list[str]:
+    def write_segments(self, base: Manifest, df: DataFrame, whole: bool = True) -> list[str]:
         if not self.same_zone(base):
             raise LayoutError(
                 f"table '{base.table}' is partitioned in time zone {base.properties['time_zone']}, the session is in {self._zone()}"
@@ -368,7 +373,7 @@ class Warehouse:
         columns += [r.value(F.col(f"`{r.field}`")).alias(r.column) for r in base.layout.rules if r.hidden]
         directories = [base.directory(r) for r in base.layout.rules]
         clusters = [base.column(c).stored_as for c in base.layout.cluster_by]
-        rows = Layout.arrange(fitted.select(*columns), directories, clusters)
+        rows = Layout.arrange(fitted.select(*columns), directories, clusters, whole)
         folder = f"{VERSION}={base.version + 1}-{uuid.uuid4().hex[:8]}"
         writer = rows.write.mode("errorifexists")
         if directories:
@@ -399,13 +404,16 @@ class Warehouse:
 
 
 # -- helpers -----------------------------------------------------------------
-def touched_segments(rows: DataFrame, statistics: Sequence[Column] = ()) -> dict[str, Any]:
+def touched_segments(rows: DataFrame, most: Column | None = None) -> dict[str, int]:
     """Directories that ``rows`` (read with ``located=True``) come from.
 
-    One row per directory reaches the driver, with optional statistics.
+    Rows are counted per file and files per directory, so one row per directory
+    reaches the driver, with the maximum of ``most``.
     """
-    found = rows.groupBy(SEGMENT).agg(F.count(F.lit(1)).alias("n"), *statistics).collect()
-    return {unquote(r[SEGMENT]): r for r in found}
+    per_file = rows.groupBy(FILE).agg(F.max(most if most is not None else F.lit(0)).alias("most"))
+    directory = F.regexp_extract(FILE, f"/({VERSION}=[^/]+(?:/[^/]+=[^/]*)*)/[^/]+$", 1)
+    found = per_file.groupBy(directory.alias("directory")).agg(F.max("most").alias("most")).collect()
+    return {unquote(r["directory"]): r["most"] for r in found}
 
 
 def columns_of(schema: T.StructType) -> list[StoredColumn]:
