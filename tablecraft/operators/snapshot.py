@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecraft.operators.layout import Layout, PartitionRule, literal, time_partition
 from tablecraft.sources.warehouse import (
-    FILE, Manifest, TableError, Warehouse, columns_of, touched_segments,
+    FILE, Manifest, Warehouse, columns_of, touched_segments,
 )
 
 # The bookkeeping columns of a history table.
