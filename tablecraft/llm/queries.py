@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import fingerprints, licences
+from tablecraft.llm import fingerprints, licences, packing, secrets, tokencount
 from tablecraft.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,5 +17,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.scan(documents(spark, sf_dir)))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(documents(spark, sf_dir)))
+
+
+QUERIES["op3_secret_scan"] = op3_secret_scan
+QUERIES["op4_pattern_packing"] = packing.op4_pattern_packing
 QUERIES["op5_license_scan"] = op5_license_scan
 QUERIES["op6_document_fingerprints"] = fingerprints.op6
+QUERIES["op10_token_counts"] = tokencount.op10_token_counts
