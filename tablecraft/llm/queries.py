@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import decontamination, fingerprints, jaccard, licences, packing, secrets, tokencount, toxicity
+from tablecraft.llm import decontamination, fingerprints, jaccard, language, licences, packing, secrets, tokencount, toxicity
 from tablecraft.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,13 +17,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.scan(documents(spark, sf_dir)))
 
 
-QUERIES["op1_toxicity"] = toxicity.op1_toxicity
-
-
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(documents(spark, sf_dir)))
 
 
+QUERIES["op1_toxicity"] = toxicity.op1_toxicity
+QUERIES["op2_language_id"] = language.op2_language_id
+QUERIES["page_languages"] = language.page_languages
 QUERIES["op3_secret_scan"] = op3_secret_scan
 QUERIES["op4_pattern_packing"] = packing.op4_pattern_packing
 QUERIES["op5_license_scan"] = op5_license_scan
