@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import decontamination, fingerprints, jaccard, language, licences, packing, secrets, tokencount, toxicity
+from tablecraft.llm import decontamination, fingerprints, jaccard, language, licences, packing, pseudo_likelihood, secrets, tokencount, toxicity
 from tablecraft.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,5 +29,6 @@ QUERIES["op4_pattern_packing"] = packing.op4_pattern_packing
 QUERIES["op5_license_scan"] = op5_license_scan
 QUERIES["op6_document_fingerprints"] = fingerprints.op6
 QUERIES["op7_decontamination"] = decontamination.op7_decontamination
+QUERIES["op8_lm_scoring"] = pseudo_likelihood.op8_lm_scoring
 QUERIES["op9_jaccard_join"] = jaccard.op9_jaccard_join
 QUERIES["op10_token_counts"] = tokencount.op10_token_counts
