@@ -198,7 +198,11 @@ def verified(candidates: DataFrame, threshold: float = THRESHOLD, words: int = W
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS,
                     trees: int = TREES, labels: int = LABELS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, mark, class_id, n_links, n_copies); ``mark`` is a hash of the text. See the module."""
+    """(doc_id, mark, group, class_id, n_links, n_copies); see the module.
+
+    ``mark`` is a hash of the text. ``group`` tells classes apart where ids are null
+    or repeated; it is null for texts without words.
+    """
     depth = depth_for(threshold, trees, labels, recall)
     signed = stored(signatures(docs, doc_id, text, words, trees, labels, depth), "signatures")
     nodes = stored(
@@ -225,10 +229,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = nodes.select("node", "doc_id", "copies").join(classes, "node", "left").join(linked, "node", "left").select(
         "node", "doc_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    of_node = known.join(named, "component").select("node", "class_id", "copies", "n_links")
+    of_node = known.join(named, "component").select("node", F.col("component").alias("group"), "class_id", "copies", "n_links")
     with_words = signed.where("size > 0").select("doc_id", "mark", "node").join(of_node, "node").select(
-        "doc_id", "mark", "class_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    without = signed.where("size = 0").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+        "doc_id", "mark", "group", "class_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    without = signed.where("size = 0").select("doc_id", "mark", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return with_words.unionByName(without)
 
 

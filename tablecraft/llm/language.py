@@ -59,19 +59,26 @@ def trigrams(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
 
 
-def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str | None = "lang", host: Column | None = None) -> DataFrame:
-    """(id, mark, declared, suffix, domain, host, text) with blanks for what is not known."""
+def keys(doc_id: str = "doc_id", text: str = "text", declared: str | None = "lang", host: Column | None = None) -> list[Column]:
+    """id, mark (hash of the text), declared, suffix, domain, host, with blanks for what is not known.
+
+    Rows that agree in all of these get the same answer.
+    """
     blank = F.lit("")
     place = F.lower(F.coalesce(host, blank)) if host is not None else blank
     parts = F.split(place, r"\.")
     dotted = F.size(parts) > 1
-    body = whole(F.col(text))
-    return docs.select(
-        F.col(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("mark"),
+    return [
+        F.col(doc_id).cast("long").alias("id"), F.xxhash64(whole(F.col(text))).alias("mark"),
         (F.lower(F.split(F.trim(F.coalesce(F.col(declared).cast("string"), blank)), "[-_]")[0]) if declared else blank).alias("declared"),
         F.when(dotted, F.element_at(parts, -1)).otherwise(blank).alias("suffix"),
         F.when(dotted, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(blank).alias("domain"),
-        place.alias("host"), body.alias("text"))
+        place.alias("host")]
+
+
+def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str | None = "lang", host: Column | None = None) -> DataFrame:
+    """The :func:`keys` of every row, and its text."""
+    return docs.select(*keys(doc_id, text, declared, host), whole(F.col(text)).alias("text"))
 
 
 def learn(rows: DataFrame, most: int = MOST) -> tuple[list[str], np.ndarray]:
@@ -129,10 +136,10 @@ def _best(scores: Column) -> Column:
 
 
 def fused(weighed: DataFrame, languages: list[str], trust: float = TRUST, smoothing: float = SMOOTHING, least: float = LEAST) -> DataFrame:
-    """(id, mark, language, probability, accepted). ``weighed`` is read several times: store it first."""
+    """(id, mark, declared, host, language, probability, accepted). ``weighed`` is read several times: store it first."""
     n = len(languages)
     if not n:
-        return weighed.select("id", "mark", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("accepted"))
+        return weighed.select("id", "mark", "declared", "host", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("accepted"))
     names = F.array(*[F.lit(name) for name in languages])
     wrong = (1 - trust) / max(1, n - 1)
     known = F.array_contains(names, F.col("declared"))
@@ -170,12 +177,12 @@ def fused(weighed: DataFrame, languages: list[str], trust: float = TRUST, smooth
     top = F.array_max("total")
     mass = F.aggregate(F.transform("total", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
     return joined.select(
-        "id", "mark", F.get(names, _best(F.col("total"))).alias("language"), (1 / mass).alias("probability"),
+        "id", "mark", "declared", "host", F.get(names, _best(F.col("total"))).alias("language"), (1 / mass).alias("probability"),
         ((F.col("letters") > 0) & (1 / mass >= least)).alias("accepted"))
 
 
 def identify(rows: DataFrame) -> DataFrame:
-    """(id, mark, language, probability, accepted) of the rows of :func:`prepared`."""
+    """(id, mark, declared, host, language, probability, accepted) of the rows of :func:`prepared`."""
     languages, table = learn(rows)
     return fused(stored(evidence(rows, languages, table), "language"), languages)
 
