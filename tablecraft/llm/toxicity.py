@@ -200,8 +200,8 @@ def features(n_words: int, hits: Iterable[tuple[int, int, bool, int]], weights:
     return np.array([1.0, math.log1p(abuse), math.log1p(quotation), math.log1p(100 * abuse / max(20, n_words)), math.log1p(len(terms))])
 
 
-#: Used where nothing can be fitted: a single plain match is toxic, a quoted one is not.
-DEFAULT = np.array([-5.0, 2.5, -0.5, 1.0, 1.0])
+#: Used where nothing can be fitted: a few plain matches are toxic, quoted ones hardly count.
+DEFAULT = np.array([-5.0, 2.5, 0.5, 1.0, 1.0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
