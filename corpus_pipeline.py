@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecraft.llm import decontamination, jaccard, language, packing, secrets
-from tablecraft.llm.common import documents, stored, whole
+from tablecraft.llm.common import documents, let, stored, whole
 from tablecraft.llm.tokens import public_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,9 +52,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts by a mark; all documents stay."""
     found = secrets.find(docs.select(*COLUMNS), into="spans")
-    text = secrets.redacted(F.col("text"), F.col("spans"))
     changed = F.size("spans") > 0
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    new = let(secrets.redacted(F.col("text"), F.col("spans")), lambda text: F.struct(text.alias("text"), F.length(text).cast("long").alias("n_chars")))
+    return found.withColumn("new", new).select("doc_id", "new.text", "lang", "source", F.when(changed, F.col("new.n_chars")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
