@@ -44,7 +44,7 @@ SHARED = 256
 PAD = SIZE
 WIDTH = 24
 PLACES = (-2, -1, 1, 2)
-ROUNDS, STRIDE, BATCH, RATE = 2, 4, 2048, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 4, 4096, 0.1
 #: Numbers per part when weights are averaged, and groups of tasks that are averaged first.
 PART, GROUPS = 8192, 64
 #: Word ids kept per worker; a memory bound without influence on results.
@@ -76,53 +76,68 @@ class Network:
         return cls(x[:a].reshape(len(PLACES), SIZE + 1, WIDTH).copy(), x[a:a + b].reshape(WIDTH + 1, CLASSES).copy(), x[a + b:].reshape(CLASSES, WIDTH + 1, CLASSES).copy())
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+_ONES = np.ones(CLASSES, np.float32)
+
+
+def _chosen(logits: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of the chosen column of each row; what the softmax divides, and by what.
+
+    Logits are cut where the exponential would leave the range of the type; sums of
+    rows are products with ones, which is faster than reducing short rows.
+    """
+    e = np.exp(np.clip(logits, -40, 40))
+    total = e @ _ONES
+    return np.log(e[np.arange(len(k)), k] / total), e, total
 
 
 def forward(net: Network, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
     """Log-probability of the words at the places, hidden values, and what the gradient needs per class."""
-    total = net.near[0][ids[at + PLACES[0]]]
+    # Places of one class together: their softmax within the class is one product.
+    order = np.argsort(ids[at] // CLASSES, kind="stable")
+    ordered = at[order]
+    total = net.near[0].take(ids[ordered + PLACES[0]], axis=0)
     for k in range(1, len(PLACES)):
-        total = total + net.near[k][ids[at + PLACES[k]]]
+        total += net.near[k].take(ids[ordered + PLACES[k]], axis=0)
     hidden = np.ones((len(at), WIDTH + 1), np.float32)
-    hidden[:, :WIDTH] = np.tanh(total)
-    kind, word = np.divmod(ids[at], CLASSES)
-    p_class = _softmax(hidden @ net.of_class)
-    log_p = np.log(np.maximum(p_class[np.arange(len(at)), kind], 1e-30))
-    order = np.argsort(kind, kind="stable")
-    starts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    np.tanh(total, out=hidden[:, :WIDTH])
+    kind, word = np.divmod(ids[ordered], CLASSES)
+    log_p, e, sums = _chosen(hidden @ net.of_class, kind)
+    starts = np.searchsorted(kind, np.arange(CLASSES + 1))
     parts = []
     for c in range(CLASSES):
-        chosen = order[starts[c]:starts[c + 1]]
-        if len(chosen):
-            p = _softmax(hidden[chosen] @ net.within[c])
-            log_p[chosen] += np.log(np.maximum(p[np.arange(len(chosen)), word[chosen]], 1e-30))
-            parts.append((c, chosen, p))
-    return log_p, hidden, [p_class, kind, word, parts]
+        a, b = starts[c], starts[c + 1]
+        if b > a:
+            inner, e_c, sums_c = _chosen(hidden[a:b] @ net.within[c], word[a:b])
+            log_p[a:b] += inner
+            parts.append((c, a, b, e_c, sums_c))
+    back = np.empty_like(log_p)
+    back[order] = log_p
+    return back, hidden, [ordered, kind, word, e, sums, parts]
 
 
 def learn(net: Network, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
     """One step down the gradient of the places' mean loss, in place."""
-    _, hidden, (p_class, kind, word, parts) = forward(net, ids, at)
+    _, hidden, (ordered, kind, word, e, sums, parts) = forward(net, ids, at)
     n = len(at)
-    d_class = p_class
+    step = np.float32(rate / np.sqrt(n))
+    d_class = e / sums[:, None]
     d_class[np.arange(n), kind] -= 1
     d_hidden = d_class @ net.of_class.T
-    steps = [(net.of_class, hidden.T @ d_class)]
-    for c, chosen, p in parts:
-        p[np.arange(len(chosen)), word[chosen]] -= 1
-        d_hidden[chosen] += p @ net.within[c].T
-        steps.append((net.within[c], hidden[chosen].T @ p))
+    updates = [(net.of_class, hidden.T @ d_class)]
+    for c, a, b, e_c, sums_c in parts:
+        p = e_c / sums_c[:, None]
+        p[np.arange(b - a), word[a:b]] -= 1
+        d_hidden[a:b] += p @ net.within[c].T
+        updates.append((net.within[c], hidden[a:b].T @ p))
     d_total = d_hidden[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)
-    for weights, gradient in steps:
-        weights -= rate * gradient / np.sqrt(n)
+    for weights, gradient in updates:
+        weights -= step * gradient
     for k, place in enumerate(PLACES):
-        near = ids[at + place]
-        order = np.argsort(near, kind="stable")
-        rows, first = np.unique(near[order], return_index=True)
-        net.near[k][rows] -= rate * np.add.reduceat(d_total[order], first, axis=0) / np.sqrt(n)
+        near = ids[ordered + place]
+        by_word = np.argsort(near, kind="stable")
+        sorted_ = near[by_word]
+        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+        net.near[k][sorted_[first]] -= step * np.add.reduceat(d_total.take(by_word, axis=0), first, axis=0)
 
 
 class Numbers:
