@@ -1,8 +1,8 @@
 """Incremental strategies: high-water mark, merge, delete+insert, append.
 
 Each strategy has a pure form over DataFrames and a table form. The table
-forms find out first which directories hold matching keys (reading only the
-key columns of the target) and rewrite only those.
+forms find out first which files hold matching keys (reading only the key
+columns of the target) and rewrite only those.
 
 Keys compare with plain ``=``: a NULL key matches nothing, so such rows are
 inserted again by merge and never deleted by delete+insert.
@@ -17,13 +17,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecraft.operators.layout import PartitionRule, literal
-from tablecraft.sources.warehouse import FILE, Manifest, TableError, Warehouse, touched_segments
+from tablecraft.sources.warehouse import FILE, NULL_DIRECTORY, Manifest, TableError, Warehouse, touched_files
 
 _MATCH = "__match"
 STRATEGIES = ("merge", "delete+insert", "append")
-# Directory names collected to prune a target; beyond it all are considered.
-MAX_DIRECTORY_VALUES = 10_000
-_RANGED = (T.IntegralType, T.DateType, T.TimestampNTZType)
+_RANGED = (T.IntegralType, T.DateType, T.TimestampNTZType, T.TimestampType, T.StringType)
 
 
 class MergeCardinalityError(RuntimeError):
@@ -169,7 +167,7 @@ def merge(
     update: bool = True,
     **changes: Any,
 ) -> Manifest:
-    """MERGE ``source`` into a stored table, rewriting only touched directories."""
+    """MERGE ``source`` into a stored table, rewriting only touched files."""
     keys = _keys(unique_key)
     base = warehouse.manifest(name)
     _check_keys(base, source, keys)
@@ -182,7 +180,7 @@ def _merge_rows(warehouse: Warehouse, base: Manifest, rows: DataFrame, keys: lis
     here = _possible_matches(warehouse, base, rows, keys)
     hits = here.alias("t").join(counted.alias("s"), _on("t", "s", keys), "inner").select("t.*", "s.__n").persist()
     try:
-        touched = touched_segments(hits, F.col("__n"))
+        touched = touched_files(hits, F.col("__n"))
         inserts = rows.alias("s").join(hits.alias("t"), _on("s", "t", keys), "left_anti")
         lowered = {k.lower() for k in keys}
         if not update or not touched or {c.name.lower() for c in base.columns} == lowered:
@@ -222,7 +220,7 @@ def delete_insert(
     with warehouse.staged(warehouse.fit(base, source)) as rows:
         wanted = _with_key(rows, keys).select(*[F.col(f"`{k}`") for k in keys]).distinct()
         here = _possible_matches(warehouse, base, rows, keys)
-        touched = touched_segments(here.alias("t").join(wanted.alias("s"), _on("t", "s", keys), "left_semi"))
+        touched = touched_files(here.alias("t").join(wanted.alias("s"), _on("t", "s", keys), "left_semi"))
         if not touched:
             return warehouse.publish(base, rows, replaced=(), **changes)
         old = warehouse.read(name, version=base.version, segments=list(touched), guarded=False)
@@ -264,19 +262,24 @@ def _possible_matches(warehouse: Warehouse, base: Manifest, rows: DataFrame, key
     rules = [r for r in base.layout.rules if r.field.lower() in {k.lower() for k in keys} and _named(base, r)]
     segments = list(base.segments)
     if rules and segments:
-        names = [r.value(F.col(f"`{r.field}`")).cast("string").alias(f"r{i}") for i, r in enumerate(rules)]
-        found = _with_key(rows, keys).select(*names).distinct().limit(MAX_DIRECTORY_VALUES + 1).collect()
-        if len(found) <= MAX_DIRECTORY_VALUES:
-            wanted = {tuple(r) for r in found}
-            levels = [base.directory(r) for r in rules]
-            segments = [s for s in segments if tuple(warehouse.directory_value(s, c) for c in levels) in wanted]
+        # Values outside a range layout have the NULL directory, too.
+        names = [F.coalesce(r.value(F.col(f"`{r.field}`")).cast("string"), F.lit(NULL_DIRECTORY)).alias(f"r{i}") for i, r in enumerate(rules)]
+        levels = [base.directory(r) for r in rules]
+        places = {s: tuple(warehouse.directory_value(s, c) or NULL_DIRECTORY for c in levels) for s in segments}
+        # What reaches the driver are directories of the target, however large the source is.
+        schema = T.StructType([T.StructField(f"r{i}", T.StringType()) for i in range(len(rules))])
+        there = warehouse.spark.createDataFrame(sorted(set(places.values())), schema)
+        wanted = {tuple(r) for r in there.join(_with_key(rows, keys).select(*names), schema.names, "left_semi").collect()}
+        segments = [s for s in segments if places[s] in wanted]
     here = warehouse.read(base.table, version=base.version, segments=segments, located=True, guarded=False)
     if ranged:
-        ends = [f(F.col(f"`{k}`")).alias(f"{i}{f.__name__}") for i, k in enumerate(ranged) for f in (F.min, F.max)]
+        zoned = {k for k in ranged if isinstance(base.column(k).data_type, T.TimestampType)}
+        value = lambda k: F.unix_micros(F.col(f"`{k}`")) if k in zoned else F.col(f"`{k}`")
+        ends = [f(value(k)).alias(f"{i}{f.__name__}") for i, k in enumerate(ranged) for f in (F.min, F.max)]
         bounds = _with_key(rows, keys).agg(*ends).first()
         for i, k in enumerate(ranged):
             kind = base.column(k).data_type
-            low, high = literal(bounds[f"{i}min"], kind), literal(bounds[f"{i}max"], kind)
+            low, high = (F.timestamp_micros(F.lit(bounds[f"{i}{end}"]).cast("long")) if k in zoned else literal(bounds[f"{i}{end}"], kind) for end in ("min", "max"))
             here = here.where((F.col(f"`{k}`") >= low) & (F.col(f"`{k}`") <= high))
     return here.select(*[F.col(f"`{k}`") for k in keys], F.col(FILE))
 

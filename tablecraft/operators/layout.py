@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 LOAD_TIME_COLUMN = "run_ts"
+TEXT_MARK = "v"
+# Operators by which directories can be left out.
+PRUNING = ("==", "<", "<=", ">", ">=", "in", "between", "is_null")
 MAX_CLUSTER_COLUMNS = 4
 GRANULARITIES = ("HOUR", "DAY", "MONTH", "YEAR")
 # Collation names as users of the warehouse write them.
@@ -24,7 +27,8 @@ class LayoutError(ValueError):
 class PartitionRule:
     """How one directory level is computed from a row.
 
-    ``kind`` is ``column`` (the column itself), ``trunc`` (date/time cut to a
+    ``kind`` is ``column`` (the column itself), ``text`` (a string, marked so that
+    an empty one has a directory of its own), ``trunc`` (date/time cut to a
     granularity), ``range`` (integer buckets) or ``is_null`` (open/closed).
     """
 
@@ -46,6 +50,8 @@ class PartitionRule:
             return source
         if self.kind == "is_null":
             return source.isNull()
+        if self.kind == "text":
+            return F.concat(F.lit(TEXT_MARK), source)
         if self.kind == "range":
             bucket = F.floor((source - self.start) / F.lit(self.interval)) * self.interval + self.start
             return F.when((source >= self.start) & (source < self.end), bucket.cast("bigint"))
@@ -60,6 +66,8 @@ class PartitionRule:
             return T.BooleanType()
         if self.kind == "range":
             return T.LongType()
+        if self.kind == "text":
+            return T.StringType()
         return T.StringType() if self.granularity == "HOUR" else T.DateType()
 
     def implied(self, op: str, value: Any, kind: T.DataType) -> Column | None:
@@ -73,7 +81,7 @@ class PartitionRule:
             return stored.isNull()
         if op == "in":
             # Inclusive bounds of the list prune safely whatever its size.
-            values = list(value)
+            values = [v for v in value if v is not None]
             return self.implied("between", (min(values), max(values)), kind) if values else None
         if op == "between":
             return self.implied(">=", value[0], kind) & self.implied("<=", value[1], kind)
@@ -98,7 +106,7 @@ class PartitionRule:
         if op == "between":
             return self.may_hold(directory, ">=", value[0]) and self.may_hold(directory, "<=", value[1])
         if op == "in":
-            return any(self.may_hold(directory, "==", v) for v in value)
+            return any(self.may_hold(directory, "==", v) for v in value if v is not None)
         if op not in ("==", "<", "<=", ">", ">="):
             return True
         name, wanted = directory, self._directory_name(value)
@@ -116,6 +124,8 @@ class PartitionRule:
         """The name of the directory a value belongs to; its order is that of values."""
         if self.kind == "range":
             return str(value)
+        if self.kind == "text":
+            return f"{TEXT_MARK}{value}" if isinstance(value, str) else None
         if not isinstance(value, (dt.date, dt.datetime)):
             return None
         if isinstance(value, dt.datetime) and (value.tzinfo is not None or self.kind == "column"):
@@ -190,6 +200,14 @@ class Layout:
             cluster_by=tuple(new(c) for c in self.cluster_by),
         )
 
+    def for_types(self, types: Mapping[str, T.DataType]) -> "Layout":
+        """String columns are partitioned by a marked copy: Spark's directories cannot tell '' from NULL."""
+        def rule(r: PartitionRule) -> PartitionRule:
+            text = r.kind == "column" and isinstance(types.get(r.field.lower()), T.StringType)
+            return replace(r, kind="text", column=f"_p_{r.field}") if text else r
+
+        return replace(self, rules=tuple(map(rule, self.rules)))
+
     def fields(self) -> list[str]:
         return [r.field for r in self.rules] + list(self.cluster_by)
 
@@ -314,7 +332,7 @@ def scan(warehouse, name: str, where: Iterable[Filter] = ()) -> DataFrame:
     filters = [(n, op, v) for n, op, v in where]
     manifest = warehouse.manifest(name)
     fields = {r.field.lower() for r in manifest.layout.rules}
-    if manifest.layout.require_filter and not any(n.lower() in fields for n, _, _ in filters):
+    if manifest.layout.require_filter and not any(n.lower() in fields and op in PRUNING for n, op, _ in filters):
         raise LayoutError(
             f"table '{name}' requires a filter on its partition column ({', '.join(sorted(fields))})"
         )

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecraft.operators.layout import Layout, PartitionRule, literal, time_partition
 from tablecraft.sources.warehouse import (
-    FILE, Manifest, Warehouse, columns_of, touched_segments,
+    FILE, Manifest, Warehouse, columns_of, touched_files,
 )
 
 # The bookkeeping columns of a history table.
@@ -190,7 +190,7 @@ def snapshot_run(
 ) -> Manifest:
     """One run against a stored history; the first run creates it.
 
-    Directories without a closing row are neither read in full nor rewritten.
+    Files without a closing row are neither read in full nor rewritten.
     """
     if strategy not in STRATEGIES:
         raise SnapshotError(f"unknown snapshot strategy '{strategy}'; use {', '.join(STRATEGIES)}")
@@ -230,7 +230,7 @@ def _run_rows(
         .select(F.col(f"`{key}`").alias("__open"), F.col(UPDATED_AT).alias("__dated"), FILE)
     )
     if empty and invalidate_hard_deletes:
-        touched = list(touched_segments(opened))
+        touched = list(touched_files(opened))
         old = warehouse.read(name, version=base.version, segments=touched, guarded=False)
         closed = old.withColumn(VALID_TO, F.when(is_open, run_time).otherwise(F.col(VALID_TO)))
         return warehouse.publish(base, closed, replaced=touched, **changes)
@@ -239,7 +239,7 @@ def _run_rows(
     opened = opened.where(F.col("__open").isNotNull())
     delta = _delta(opened, _newest(rows, key, updated_at), invalidate_hard_deletes and not null_key).persist()
     try:
-        touched = list(touched_segments(delta.where("NOT new")))
+        touched = list(touched_files(delta.where("NOT new")))
         closing = (
             delta.where("NOT new").groupBy("__key").agg(F.max(_NEWEST).alias(_NEWEST), F.max("gone").alias("gone"))
         )

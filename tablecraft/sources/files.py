@@ -2,11 +2,12 @@
 
 Only manifests and directory names pass through here; rows are read and
 written by Spark. All calls go to Hadoop's ``FileSystem``/``FileContext``, so
-the same code works on a local disk, HDFS or an object store.
+the same code works on a local disk and on HDFS (see `Files.write_new` for object stores).
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ _fallback_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A private folder is used only when the cluster names none (unit tests).
+    Without one a private folder is used, in local mode only: on a cluster every
+    executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_folders:
         _fallback_folders[app] = tempfile.mkdtemp(prefix="spark-")
@@ -68,6 +72,10 @@ class Files:
             if not s.isDirectory()
         )
 
+    def modified(self, path: str) -> float:
+        """Seconds since 1970 of the last change."""
+        return self._fs(path).getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def read_text(self, path: str) -> str:
         stream = self._fs(path).open(self._path(path))
         try:
@@ -79,7 +87,9 @@ class Files:
         """Write ``path`` in one step; False if it exists already.
 
         The text goes to a scratch name first and is renamed without overwrite,
-        so a reader sees the whole file or none of it.
+        so a reader sees the whole file or none of it. This needs a file system
+        whose rename is atomic and refuses an existing target (local disks, HDFS);
+        on an object store without that, let one writer change a table at a time.
         """
         folder, _, leaf = path.rpartition("/")
         scratch = f"{folder}/.{leaf}.{uuid.uuid4().hex}"

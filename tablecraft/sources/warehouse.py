@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
+import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
@@ -27,6 +29,8 @@ from tablecraft.sources.files import Files, fresh_folder
 
 FILE = "__file"
 VERSION = "__version"
+# Staged frames are kept at least so long; a job that stages one is over by then.
+STAGED_FOR = dt.timedelta(days=2)
 NULL_DIRECTORY = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -151,7 +155,12 @@ class Warehouse:
         return [t for t in self.files.child_dirs(self.root) if not t.startswith("_") and self.exists(t)]
 
     def commit(self, base: Manifest, **changes: Any) -> Manifest:
-        """Publish ``base`` plus ``changes`` as the next version."""
+        """Publish ``base`` plus ``changes`` as the next version.
+
+        ``batches`` are added to those of ``base``, so a stream never forgets another one's.
+        """
+        if "batches" in changes:
+            changes["batches"] = {**base.batches, **changes["batches"]}
         if "segments" in changes:
             changes["segments"] = tuple(changes["segments"])
         new = replace(base, version=base.version + 1, **changes)
@@ -166,17 +175,51 @@ class Warehouse:
         """Forget a table; its files go with :meth:`vacuum`."""
         self.commit(self.manifest(name), columns=(), segments=(), written={}, properties={}, batches={})
 
-    def vacuum(self, name: str) -> int:
-        """Delete directories that the latest version does not use."""
+    def vacuum(self, name: str, older_than: dt.timedelta = dt.timedelta(days=7)) -> int:
+        """Delete what the latest version does not use, if it has not changed for ``older_than``.
+
+        Folders of versions that are not published yet belong to running writers and
+        stay. Readers of an old version are safe for ``older_than``.
+        """
+        limit = time.time() - older_than.total_seconds()
         names = self._manifest_names(name)
         latest = self._load(name, names[-1])
         live = {s.split("/", 1)[0] for s in latest.segments}
-        stale = [d for d in self.files.child_dirs(self._folder(name)) if d.startswith(f"{VERSION}=") and d not in live]
+        table = self._folder(name)
+        stale = [
+            f"{table}/{d}" for d in self.files.child_dirs(table)
+            if d.startswith(f"{VERSION}=") and d not in live and int(d.partition("=")[2].partition("-")[0]) <= latest.version
+        ]
+        staged = f"{self.root}/_staged"
+        if self.files.exists(staged):
+            # A staged frame is in use as long as its job runs: it needs an age whatever the caller says.
+            old = time.time() - max(older_than, STAGED_FOR).total_seconds()
+            for d in self.files.child_dirs(staged):
+                if self.files.modified(f"{staged}/{d}") < old:
+                    self.files.delete(f"{staged}/{d}")
         for leaf in names[:-1]:
-            self.files.delete(f"{self._folder(name)}/_manifests/{leaf}")
-        for d in stale:
-            self.files.delete(f"{self._folder(name)}/{d}")
-        return len(stale)
+            if self.files.modified(f"{table}/_manifests/{leaf}") <= limit:
+                self.files.delete(f"{table}/_manifests/{leaf}")
+        gone = [d for d in stale if self.files.modified(d) <= limit]
+        for d in gone:
+            self.files.delete(d)
+        return len(gone)
+
+    def compact(self, name: str) -> Manifest:
+        """Rewrite partitions that are spread over several versions or split into files.
+
+        Appends and merges add directories; this puts each partition into one again.
+        """
+        base = self.manifest(name)
+        by_place: dict[str, list[str]] = {}
+        for s in base.segments:
+            place = s.partition("/")[2]
+            by_place.setdefault(place.rpartition("/")[0] if _is_file(s) else place, []).append(s)
+        spread = [s for members in by_place.values() if len(members) > 1 for s in members]
+        if not spread:
+            return base
+        rows = self.read(name, version=base.version, segments=spread, guarded=False)
+        return self.publish(base, rows, replaced=spread)
 
     @staticmethod
     def directory_value(segment: str, column: str) -> str | None:
@@ -235,7 +278,7 @@ class Warehouse:
             by_version.setdefault(s.split("/", 1)[0], []).append(s)
         paths: list[str] = []
         for folder, members in by_version.items():
-            whole = len(members) == manifest.written.get(folder)
+            whole = len(members) == manifest.written.get(folder) and not any(map(_is_file, members))
             paths += [folder] if whole else members
         return paths
 
@@ -273,6 +316,7 @@ class Warehouse:
         if layout.rules and layout.partition_expiration_days is None:
             layout = replace(layout, partition_expiration_days=self.default_partition_expiration_days)
         described = tuple(columns or columns_of(df.schema))
+        layout = layout.for_types({c.name.lower(): c.data_type for c in described})
         if properties.get("default_collation"):
             described = tuple(_collated(c, properties["default_collation"]) for c in described)
         names = self._manifest_names(name)
@@ -309,15 +353,29 @@ class Warehouse:
     def publish(
         self, base: Manifest, df: DataFrame, replaced: Sequence[str], whole: bool = False, **changes: Any
     ) -> Manifest:
-        """Write ``df`` and swap it in for the ``replaced`` directories.
+        """Write ``df`` and swap it in for the ``replaced`` directories and files.
 
-        ``whole`` says that these are all rows of the table.
+        ``whole`` says that these are all rows of the table. A directory that loses
+        some of its files is listed by its other files from then on.
         """
-        gone = set(replaced)
-        kept = [s for s in base.segments if s not in gone]
+        kept = self._without(base, replaced)
         added = self.write_segments(base, df, whole)
         return self.commit(base, segments=[*kept, *added], written=self._counted(base, added, kept), **changes)
 
+    def _without(self, base: Manifest, replaced: Sequence[str]) -> list[str]:
+        gone = set(replaced)
+        thinned = {s.rpartition("/")[0] for s in gone if _is_file(s)}
+        kept: list[str] = []
+        for s in base.segments:
+            if s in gone:
+                continue
+            if s in thinned:
+                leaves = self.files.child_files(f"{self._folder(base.table)}/{s}")
+                kept += [f"{s}/{leaf}" for leaf in leaves if _is_file(leaf) and f"{s}/{leaf}" not in gone]
+            else:
+                kept.append(s)
+        return kept
+
     @staticmethod
     def _counted(base: Manifest, added: Sequence[str], kept: Sequence[str]) -> dict[str, int]:
         alive = {s.split("/", 1)[0] for s in kept}
@@ -404,16 +462,18 @@ class Warehouse:
 
 
 # -- helpers -----------------------------------------------------------------
-def touched_segments(rows: DataFrame, most: Column | None = None) -> dict[str, int]:
-    """Directories that ``rows`` (read with ``located=True``) come from.
+def touched_files(rows: DataFrame, most: Column | None = None) -> dict[str, int]:
+    """Files that ``rows`` (read with ``located=True``) come from, with the maximum of ``most``.
 
-    Rows are counted per file and files per directory, so one row per directory
-    reaches the driver, with the maximum of ``most``.
+    One row per file reaches the driver, so clustering by key, which confines
+    matches to few files, keeps both the list and the rewrite small.
     """
-    per_file = rows.groupBy(FILE).agg(F.max(most if most is not None else F.lit(0)).alias("most"))
-    directory = F.regexp_extract(FILE, f"/({VERSION}=[^/]+(?:/[^/]+=[^/]*)*)/[^/]+$", 1)
-    found = per_file.groupBy(directory.alias("directory")).agg(F.max("most").alias("most")).collect()
-    return {unquote(r["directory"]): r["most"] for r in found}
+    found = rows.groupBy(FILE).agg(F.max(most if most is not None else F.lit(0)).alias("most")).collect()
+    return {unquote(re.search(f"/({VERSION}=.*)$", r[FILE]).group(1)): r["most"] for r in found}
+
+
+def _is_file(segment: str) -> bool:
+    return segment.endswith(".parquet")
 
 
 def columns_of(schema: T.StructType) -> list[StoredColumn]:

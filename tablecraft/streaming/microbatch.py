@@ -1,12 +1,15 @@
 """Incremental models and snapshots fed by Structured Streaming.
 
 Each micro-batch is one run of the batch operator. The batch id is stored in
-the same manifest as the rows, so a batch replayed after a failure is skipped.
+the same manifest as the rows, so a batch replayed after a failure is skipped. Ids
+are kept by the identity of the query that Spark stores in its checkpoint: two
+streams into one table, or a new checkpoint, never pass for one another.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -27,16 +30,20 @@ def read_new_files(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return reader.load(path)
 
 
-def _once(warehouse: Warehouse, name: str, stream_id: str, work: Callable[[DataFrame, dict[str, int]], Any]):
+def stream_identity(warehouse: Warehouse, checkpoint: str) -> str:
+    """The id of the query that a checkpoint belongs to."""
+    return json.loads(warehouse.files.read_text(f"{checkpoint.rstrip('/')}/metadata"))["id"]
+
+
+def _once(warehouse: Warehouse, name: str, identity: Callable[[], str], work: Callable[[DataFrame, int, dict[str, int]], Any]):
     """Run ``work`` for a batch unless the table has it already."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        done: dict[str, int] = {}
-        if warehouse.exists(name):
-            done = dict(warehouse.manifest(name).batches)
-        if done.get(stream_id, -1) >= batch_id:
+        stream = identity()
+        done = warehouse.manifest(name).batches if warehouse.exists(name) else {}
+        if done.get(stream, -1) >= batch_id:
             return
-        work(batch, {**done, stream_id: batch_id})
+        work(batch, batch_id, {stream: batch_id})
 
     return handle
 
@@ -49,7 +56,6 @@ def stream_incremental(
     strategy: str = "append",
     unique_key: str | Sequence[str] | None = None,
     layout: Layout | None = None,
-    stream_id: str = "stream",
     trigger: dict[str, Any] | None = None,
 ) -> StreamingQuery:
     """Feed a stored table from a stream with any incremental strategy.
@@ -58,13 +64,13 @@ def stream_incremental(
     takes what is available and stops.
     """
 
-    def work(batch: DataFrame, batches: dict[str, int]) -> None:
+    def work(batch: DataFrame, batch_id: int, batches: dict[str, int]) -> None:
         if not warehouse.exists(name):
             warehouse.create(name, batch, layout, batches=batches)
         else:
             inc.apply_strategy(warehouse, name, batch, strategy, unique_key, batches=batches)
 
-    return _start(source, checkpoint, _once(warehouse, name, stream_id, work), trigger)
+    return _start(source, checkpoint, _once(warehouse, name, lambda: stream_identity(warehouse, checkpoint), work), trigger)
 
 
 def stream_snapshot(
@@ -76,7 +82,6 @@ def stream_snapshot(
     updated_at: str,
     clock: Callable[[int], dt.datetime],
     invalidate_hard_deletes: bool = False,
-    stream_id: str = "stream",
     trigger: dict[str, Any] | None = None,
 ) -> StreamingQuery:
     """Version every micro-batch: each one is a snapshot run at ``clock(batch_id)``.
@@ -84,13 +89,13 @@ def stream_snapshot(
     ``invalidate_hard_deletes`` makes sense only if a batch is a full extract.
     """
 
-    def work(batch: DataFrame, batches: dict[str, int]) -> None:
+    def work(batch: DataFrame, batch_id: int, batches: dict[str, int]) -> None:
         snapshot_run(
-            warehouse, name, batch, key, updated_at, clock(batches[stream_id]),
+            warehouse, name, batch, key, updated_at, clock(batch_id),
             invalidate_hard_deletes=invalidate_hard_deletes, batches=batches,
         )
 
-    return _start(source, checkpoint, _once(warehouse, name, stream_id, work), trigger)
+    return _start(source, checkpoint, _once(warehouse, name, lambda: stream_identity(warehouse, checkpoint), work), trigger)
 
 
 def _start(source: DataFrame, checkpoint: str, handle, trigger: dict[str, Any] | None) -> StreamingQuery:

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tablecraft.operators import incremental as inc
 from tablecraft.operators.layout import (
     Layout, LayoutError, PartitionRule, collate, condition, date_partition, expire_partitions, expire_table, literal,
     range_partition, scan, time_partition,
@@ -83,7 +84,24 @@ def test_a_scan_without_partition_filter_is_refused(spark, warehouse):
         scan(warehouse, "t", [("id", "==", 1)])
     with pytest.raises(LayoutError, match="requires a partition filter"):
         warehouse.read("t")
-    assert scan(warehouse, "t", [("TS", "not_null", None)]).count() == 100
+    for op, value in (("not_null", None), ("!=", dt.datetime(2024, 1, 1))):  # neither leaves a directory out
+        with pytest.raises(LayoutError, match="requires a filter"):
+            scan(warehouse, "t", [("TS", op, value)])
+    assert scan(warehouse, "t", [("TS", ">=", dt.datetime(1970, 1, 1))]).count() == 100
+    assert scan(warehouse, "t", [("TS", "in", [dt.datetime(1970, 1, 1), None])]).count() == 0
+
+
+def test_an_empty_string_is_no_null_in_a_partition_column(spark, warehouse):
+    rows = [(1, ""), (2, "x"), (3, None), (4, "v"), (5, "a/b=c")]
+    warehouse.create("t", spark.createDataFrame(rows, "k int, p string"), Layout(rules=(date_partition("p"),)))
+    assert sorted((r["k"], r["p"]) for r in warehouse.read("t").collect()) == rows
+    assert [r["k"] for r in scan(warehouse, "t", [("p", "==", "")]).collect()] == [1]
+    assert sorted(r["k"] for r in scan(warehouse, "t", [("p", "in", ["", "x", None])]).collect()) == [1, 2]
+    assert [r["k"] for r in scan(warehouse, "t", [("p", "is_null", None)]).collect()] == [3]
+    assert sorted(r["k"] for r in scan(warehouse, "t", [("p", ">", "a/b")]).collect()) == [2, 4, 5]
+    inc.merge(warehouse, "t", spark.createDataFrame([(9, ""), (10, "new")], "k int, p string"), "p")
+    assert sorted((r["k"], r["p"]) for r in warehouse.read("t").where("p in ('', 'new')").collect()) == [(9, ""), (10, "new")]
+    assert warehouse.read("t").count() == 6
 
 
 def test_layout_rules():
