@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablecraft.operators.ordered import fold_in_order
@@ -150,33 +148,63 @@ def references_table(sql: Column | str, table: Column | str) -> Column:
     return F.coalesce((needle != "") & F.contains(_ascii_lower(text), _ascii_lower(needle)), F.lit(False))
 
 
+class RegressionError(RuntimeError):
+    """Golden questions that failed."""
+
+
 def score(golden: DataFrame, folded: DataFrame, on: str = "question") -> DataFrame:
     """One row per golden question: ``passed`` and the ``failure_reason``.
 
-    The questions join the folded conversations on ``on``; a question nobody
-    answered fails.
+    The questions join the folded conversations on ``on``. A question asked in
+    several conversations passes if all of them pass; its row then shows the
+    conversation that failed, or else any (the smallest answer and SQL). A question
+    nobody answered fails, and so does one whose pattern is invalid. Equal rows of
+    ``golden`` are one question each.
+
+    Conversations are on the left of an inner join, so a hot question can be split
+    and the golden side broadcast; verdicts are reduced per question by partial
+    aggregation.
     """
-    joined = golden.alias("g").join(
-        folded.withColumn("__answered", F.lit(True)).alias("f"), on, "left"
-    )
-    sql = F.coalesce("f.sql_text", F.lit(""))
-    answer = F.coalesce("f.answer", F.lit(""))
-    missing = F.filter("g.must_reference_tables", lambda t: ~references_table(sql, t))
+    wanted = golden.groupBy(*golden.columns).agg(F.count("*").alias("__times"))
+    # Equal questions with different checks are different questions.
+    wanted = wanted.withColumn("__golden", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in golden.columns])), 256))
+    wanted = wanted.withColumn("__good", F.coalesce(_is_pattern("expect_sql_matches"), F.lit(True)))
+    text = F.lit(None).cast("string")
+    answered = folded.alias("f").join(wanted.alias("g"), on).select("g.*", "f.sql_text", "f.answer", "f.error", F.lit(True).alias("__answered"))
+    nobody = wanted.join(folded.select(on), on, "left_anti").select(
+        *[F.col(f"`{c}`") for c in wanted.columns], text.alias("sql_text"), text.alias("answer"), text.alias("error"), F.lit(False).alias("__answered"))
+    verdict = F.struct((F.col("reason") == "").alias("passed"), "answer", "sql", "reason")
+    per_question = _checked(answered.unionByName(nobody)).groupBy("__golden").agg(F.min(verdict).alias("v"))
+    joined = wanted.join(per_question, "__golden")
+    each = joined.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return each.select(F.col(on), "v.passed", F.col("v.sql").alias("generated_sql"), "v.answer", F.col("v.reason").alias("failure_reason"))
+
+
+def _checked(joined: DataFrame) -> DataFrame:
+    """Golden id, answer, SQL and reason ('' if all checks pass) per question and conversation."""
+    sql = F.coalesce("sql_text", F.lit(""))
+    answer = F.coalesce("answer", F.lit(""))
+    pattern = F.when(F.col("__good"), F.col("expect_sql_matches"))
+    missing = F.filter("must_reference_tables", lambda t: ~references_table(sql, t))
     checks = [
-        (F.col("__answered").isNull(), F.lit("no answer")),
+        (~F.col("__answered"), F.lit("no answer")),
         (F.size(missing) > 0, F.concat(F.lit("SQL does not reference "), F.array_join(missing, ", "))),
-        (~F.rlike(sql, F.col("g.expect_sql_matches")), F.concat(F.lit("SQL does not match "), F.col("g.expect_sql_matches"))),
-        (~F.contains(answer, F.col("g.expect_answer_contains")), F.concat(F.lit("answer does not contain "), F.col("g.expect_answer_contains"))),
-        (F.col("g.must_not_error") & F.col("f.error").isNotNull(), F.concat(F.lit("error: "), F.col("f.error"))),
+        (~F.col("__good"), F.concat(F.lit("invalid pattern "), F.col("expect_sql_matches"))),
+        (~F.rlike(sql, pattern), F.concat(F.lit("SQL does not match "), F.col("expect_sql_matches"))),
+        (~F.contains(answer, F.col("expect_answer_contains")), F.concat(F.lit("answer does not contain "), F.col("expect_answer_contains"))),
+        (F.col("must_not_error") & F.col("error").isNotNull(), F.concat(F.lit("error: "), F.col("error"))),
     ]
     reason = F.concat_ws("; ", *[F.when(F.coalesce(bad, F.lit(False)), why) for bad, why in checks])
-    return joined.select(
-        F.col(on),
-        (reason == "").alias("passed"),
-        sql.alias("generated_sql"),
-        answer.alias("answer"),
-        reason.alias("failure_reason"),
-    )
+    return joined.select("__golden", answer.alias("answer"), sql.alias("sql"), reason.alias("reason"))
+
+
+def gate(scores: DataFrame, fail_on_regression: bool = True, shown: int = 20) -> str:
+    """The summary text; raises if a question failed, naming ``shown`` of them."""
+    row = summary(scores).first()
+    if fail_on_regression and not row["all_passed"]:
+        bad = failures(scores).orderBy(scores.columns[0]).limit(shown).collect()
+        raise RegressionError("\n".join([row["summary"], *(f"{r[0]}: {r['failure_reason']}" for r in bad)]))
+    return row["summary"]
 
 
 def summary(scores: DataFrame) -> DataFrame:
@@ -195,15 +223,10 @@ def failures(scores: DataFrame) -> DataFrame:
     return scores.where(~F.col("passed"))
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_pattern(patterns: pd.Series) -> pd.Series:
-    def good(p: str | None) -> bool:
-        try:
-            return p is None or bool(re.compile(p)) or True
-        except re.error:
-            return False
-
-    return patterns.map(good)
+def _is_pattern(pattern: Column | str) -> Column:
+    """Whether the engine that runs patterns accepts this one; null stays null."""
+    p = F.col(pattern) if isinstance(pattern, str) else pattern
+    return F.when(p.isNotNull(), F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), p).isNotNull())
 
 
 def golden_problems(golden: DataFrame) -> DataFrame:
@@ -217,6 +240,6 @@ def golden_problems(golden: DataFrame) -> DataFrame:
     problem = (
         F.when(F.trim("question") == "", "no question")
         .when(~asserts, "asserts nothing")
-        .when(~_is_pattern("expect_sql_matches"), "invalid pattern")
+        .when(~F.coalesce(_is_pattern("expect_sql_matches"), F.lit(True)), "invalid pattern")
     )
     return golden.withColumn("problem", problem).where(F.col("problem").isNotNull())

@@ -1,40 +1,13 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablecraft.operators import conversations as conv
 from tests.conftest import as_rows
 
 
-def by_hand(messages):
-    """Fold a list of messages one by one."""
-    def at(value, *path):
-        for p in path:
-            value = value.get(p) if isinstance(value, dict) else None
-        return value
-
-    def strings(value):
-        return [v for v in value if isinstance(v, str)] if isinstance(value, list) else []
-
-    answer, thoughts, sqls, error = "", [], [], None
-    for m in messages:
-        if isinstance(at(m, "error", "message"), str):
-            error = at(m, "error", "message")
-        for path in (("systemMessage", "data", "generatedSql"), ("systemMessage", "data", "query", "sql"), ("generatedSql",)):
-            if isinstance(at(m, *path), str) and at(m, *path):
-                sqls.append(at(m, *path))
-        kind = at(m, "systemMessage", "text", "textType")
-        kind = kind if isinstance(kind, str) else ""
-        inner = strings(at(m, "systemMessage", "text", "parts"))
-        if kind in ("", "FINAL_RESPONSE"):
-            for part in inner + strings(at(m, "text", "parts")):
-                answer += (" " if answer else "") + part
-        elif kind == "THOUGHT":
-            thoughts += inner
-    return answer, thoughts, "\n".join(sqls), error
-
-
 def random_message(rng):
     parts = rng.choice([["a", "b"], [], ["", "c"], [" d ", 5, None, "e"], "text", [""]])
     kind = rng.choice(["THOUGHT", "FINAL_RESPONSE", "", "FOLLOWUP_QUESTIONS", 7, None])
@@ -51,34 +24,62 @@ def random_message(rng):
     return rng.choice(shapes)
 
 
-def test_fold_against_message_by_message(spark, tmp_path):
+TALK = [
+    {"systemMessage": {"text": {"parts": ["plan", "then act"], "textType": "THOUGHT"}}},
+    {"systemMessage": {"data": {"query": {"sql": "SELECT x\nFROM t"}}}},
+    {"systemMessage": {"text": {"parts": ["The total", 5, None, "is 12."], "textType": "FINAL_RESPONSE"}}},
+    {"systemMessage": {"data": {"generatedSql": "SELECT 1"}}, "generatedSql": "SELECT 2"},
+    {"error": {"message": "first"}},
+    {"systemMessage": {"text": {"parts": ["skipped"], "textType": "FOLLOWUP_QUESTIONS"}}},
+    {"text": {"parts": ["Anything else?"]}},
+    {"error": {"message": "second"}},
+    {"error": "flat"},
+    {"systemMessage": {"data": {"generatedSql": ""}}},
+]
+FOLDED = ("The total is 12. Anything else?", ["plan", "then act"], "SELECT x\nFROM t\nSELECT 1\nSELECT 2", "second")
+
+
+def test_a_talk_is_folded_into_one_row(spark, tmp_path):
+    lines = [(1, t, json.dumps(m)) for t, m in enumerate(TALK)] + [(2, 0, json.dumps(TALK[4])), (3, 0, json.dumps(TALK[5]))]
+    typed = conv.parse_messages(spark.createDataFrame(lines, "c int, t int, j string"), "j", ["c", "t"])
+    got = {r["c"]: tuple(r)[1:] for r in conv.fold_conversations(typed, ["c"], ["t"]).select("c", "answer", "thoughts", "sql_text", "error").collect()}
+    assert got == {1: FOLDED, 2: ("", [], "", "first"), 3: ("", [], "", None)}
+
+    # The same talk as a file that holds an array, and as lines with keys.
+    (tmp_path / "arrays").mkdir()
+    (tmp_path / "arrays" / "1.json").write_text(json.dumps(TALK, indent=1))
+    files = conv.read_messages(spark, str(tmp_path / "arrays"), arrays=True)
+    assert as_rows(conv.fold_conversations(files, ["conversation"], ["block", "turn"]), "answer", "error") == [(FOLDED[0], FOLDED[3])]
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({**m, "c": 1, "t": t}) for t, m in enumerate(TALK)))
+    keyed = conv.read_messages(spark, str(tmp_path / "lines.json"), keys="c int, t int")
+    assert as_rows(conv.fold_conversations(keyed, ["c"], ["t"]), "sql_text") == [(FOLDED[2],)]
+
+
+def test_chunks_order_and_splits_change_nothing(spark):
     rng = random.Random(5)
     talks = {c: [random_message(rng) for _ in range(rng.randrange(1, 25))] for c in range(25)}
     rows = [(c, t, json.dumps(m)) for c, ms in talks.items() for t, m in enumerate(ms)]
-    rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "c int, t int, j string").repartition(4)
-    typed = conv.parse_messages(df, "j", ["c", "t"])
-    for chunk in (None, F.floor(F.col("t") / 4)):
-        got = {r["c"]: r for r in conv.fold_conversations(typed, ["c"], ["t"], chunk=chunk).collect()}
-        assert len(got) == len(talks)
-        for c, ms in talks.items():
-            assert (got[c]["answer"], got[c]["thoughts"], got[c]["sql_text"], got[c]["error"]) == by_hand(ms), ms
 
+    def folded(data, chunk=None):
+        typed = conv.parse_messages(spark.createDataFrame(data, "c int, t int, j string").repartition(4), "j", ["c", "t"])
+        found = conv.fold_conversations(typed, ["c"], ["t"], chunk=chunk).collect()
+        return {r["c"]: (r["answer"], tuple(r["thoughts"]), r["sql_text"], r["error"]) for r in found}
+
+    whole = folded(rows)
+    assert len(whole) == 25
+    shuffled = list(rows)
+    rng.shuffle(shuffled)
+    assert folded(shuffled) == whole
+    assert folded(rows, F.floor(F.col("t") / 4)) == whole
+    # A talk cut in two: texts follow each other, the later error counts.
+    halves = folded([(2 * c + (t > 6), t, j) for c, t, j in rows])
+    for c, (answer, thoughts, sql, error) in whole.items():
+        a, b = (halves.get(2 * c + k, ("", (), "", None)) for k in (0, 1))
+        assert thoughts == a[1] + b[1] and error == (b[3] if b[3] is not None else a[3])
+        assert sql == "\n".join(x for x in (a[2], b[2]) if x)
     arrays = spark.createDataFrame([(c, json.dumps(ms)) for c, ms in talks.items()], "c int, j string")
-    folded = conv.fold_conversations(conv.parse_message_arrays(arrays, "j", ["c"]), ["c"], ["turn"])
-    assert {r["c"]: r["answer"] for r in folded.collect()} == {c: by_hand(ms)[0] for c, ms in talks.items()}
-
-    # The same talks as files: an array per file, and lines with keys.
-    (tmp_path / "arrays").mkdir()
-    for c, ms in talks.items():
-        (tmp_path / "arrays" / f"{c}.json").write_text(json.dumps(ms, indent=1))
-    files = conv.read_messages(spark, str(tmp_path / "arrays"), arrays=True)
-    folded = conv.fold_conversations(files, ["conversation"], ["block", "turn"])
-    assert sorted(r["answer"] for r in folded.collect()) == sorted(by_hand(ms)[0] for ms in talks.values())
-    (tmp_path / "lines.json").write_text("\n".join(json.dumps({**m, "c": c, "t": t}) for c, ms in talks.items() for t, m in enumerate(ms)))
-    lines = conv.read_messages(spark, str(tmp_path / "lines.json"), keys="c int, t int")
-    folded = conv.fold_conversations(lines, ["c"], ["t"])
-    assert {r["c"]: r["sql_text"] for r in folded.collect()} == {c: by_hand(ms)[2] for c, ms in talks.items()}
+    as_arrays = conv.fold_conversations(conv.parse_message_arrays(arrays, "j", ["c"]), ["c"], ["turn"]).collect()
+    assert {r["c"]: r["answer"] for r in as_arrays} == {c: v[0] for c, v in whole.items()}
 
 
 def test_broken_messages_are_empty(spark):
@@ -119,6 +120,18 @@ def test_scores_and_summary(spark):
     assert conv.failures(scores).count() == 2
 
 
+def test_repeated_questions_get_a_row_each(spark):
+    golden = spark.createDataFrame([("q", [], None, "yes", False), ("q", [], None, "yes", False), ("q", [], None, "no", False), ("z", [], "(?P<x>a)", None, False)], conv.GOLDEN_DDL)
+    talks = [("q", f"yes {n}", "", None) for n in range(500)] + [("z", "", "aaa", None)]
+    scores = conv.score(golden, spark.createDataFrame(talks, "question string, answer string, sql_text string, error string"))
+    assert as_rows(scores, "question", "passed", "failure_reason") == [
+        ("q", False, "answer does not contain no"), ("q", True, ""), ("q", True, ""), ("z", False, "invalid pattern (?P<x>a)"),
+    ]
+    with pytest.raises(conv.RegressionError, match="2/4 golden queries passed"):
+        conv.gate(scores)
+    assert conv.gate(scores, fail_on_regression=False) == conv.gate(scores.where("passed")).replace("2/2", "2/4")
+
+
 def test_golden_problems(spark):
     golden = spark.createDataFrame(
         [(" ", ["t"], None, None, True), ("a", [], None, None, False), ("b", None, "(", None, False), ("c", None, "x+", None, None)],
