@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import inspect
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -33,6 +32,7 @@ from tablecraft.operators import incremental as inc
 from tablecraft.operators.evolve import columns_from_fields
 from tablecraft.operators.layout import Filter, Layout, condition, scan
 from tablecraft.plans.contract import check_contract
+from tablecraft.plans.definition import code_text
 from tablecraft.plans.schema import Field
 from tablecraft.sources.warehouse import Manifest, Warehouse
 
@@ -65,12 +65,9 @@ class Model:
     refresh_interval_minutes: int | None = None
     max_staleness: dt.timedelta | None = None
 
-    def definition(self) -> str:
-        """Changes when the body or the configuration changes."""
-        try:
-            text = inspect.getsource(self.body)
-        except (OSError, TypeError):
-            text = repr(self.body.__code__.co_code) + repr(self.body.__code__.co_consts)
+    def definition(self, variables: Mapping[str, Any] | None = None) -> str:
+        """Changes when the body, what it uses, or the configuration changes."""
+        text = code_text(self.body, variables)
         config = (
             self.materialized, self.unique_key, self.incremental_strategy, self.layout, self.schema,
             sorted(self.properties.items(), key=str),
@@ -290,14 +287,14 @@ class Project:
         stored = self.warehouse.exists(name)
         if not model.owns_table and not stored:
             raise ProjectError(f"model '{name}' writes a table that is managed elsewhere, and it does not exist")
-        unchanged = stored and self.warehouse.manifest(name).properties.get(_DEFINITION) == model.definition()
+        unchanged = stored and self.warehouse.manifest(name).properties.get(_DEFINITION) == model.definition(self.vars)
         if model.materialized == "incremental" and stored and not full_refresh and (unchanged or not model.owns_table):
             df = run.body(model, incremental=True)
             self._check(model, df)
             return inc.apply_strategy(self.warehouse, name, df, model.incremental_strategy, model.unique_key)
         df = run.body(model)
         self._check(model, df)
-        stamp = {_DEFINITION: model.definition(), _REFRESHED: run.run_ts.isoformat()}
+        stamp = {_DEFINITION: model.definition(self.vars), _REFRESHED: run.run_ts.isoformat()}
         if not model.owns_table:
             return replace_contents(self.warehouse, name, df)
         return self.warehouse.create(

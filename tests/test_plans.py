@@ -1,12 +1,18 @@
 """Shapes that plans must and must not have, and skewed inputs."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablecraft.functions import builtins as fn
+from tablecraft.functions.builtins import macro
 from tablecraft.operators import conversations as conv
 from tablecraft.operators import incremental as inc
 from tablecraft.operators import snapshot as scd
+from tablecraft.plans.definition import code_text
 from tablecraft.suite import QUERIES, history
 from tablecraft.suite.models import daily_revenue_frame
 
@@ -99,3 +105,37 @@ def test_a_very_long_conversation(spark):
     folded = conv.fold_conversations(typed, ["c"], ["t"], chunk=F.floor(F.col("t") / 512))
     long = folded.where("c = 0").first()["answer"].split(" ")
     assert long == [str(i) for i in range(30_000) if i % 3 or i == 0]
+
+
+def test_a_definition_follows_what_the_body_means():
+    def body(limit, factor=2):
+        def build(ctx):
+            return ctx.source("raw", "t").where(f"v > {limit}").limit(ctx.var("floor")), factor
+        return build
+
+    assert code_text(body(1)) == code_text(body(1)) != code_text(body(2))
+    assert code_text(body(1)) != code_text(body(1, 3))
+    assert code_text(body(1), {"floor": 1}) != code_text(body(1), {"floor": 2})
+    assert code_text(body(1), {"other": 1}) == code_text(body(1), {"other": 2})
+
+
+def test_a_definition_without_source_text_is_the_same_in_every_process():
+    source = "def helper(x):\n    return x + {n}\ndef build(ctx):\n    return [helper(v) for v in ctx], {{'a', 'b', 'c'}}, lambda y: y * 2"
+
+    def made(n):
+        space = {}
+        exec(source.format(n=n), space)
+        return space["build"]
+
+    assert code_text(made(1)) == code_text(made(1)) != code_text(made(2))
+    program = "import sys; sys.path.insert(0, '.'); from tablecraft.plans.definition import code_text; s = {}; exec(sys.argv[1], s); print(code_text(s['build']))"
+    runs = {subprocess.run([sys.executable, "-c", program, source.format(n=1)], capture_output=True, text=True, env={**os.environ, "PYTHONHASHSEED": seed}).stdout for seed in ("1", "2")}
+    assert len(runs) == 1 and runs.pop().strip() == code_text(made(1))
+
+
+def test_a_definition_follows_its_macros():
+    space = {"macro": macro, "F": F}
+    exec("@macro\ndef doubled(x):\n    return x * 2\ndef build(ctx):\n    return doubled('v')", space)
+    before = code_text(space["build"])
+    exec("@macro\ndef doubled(x):\n    return x * 3", space)
+    assert code_text(space["build"]) != before
