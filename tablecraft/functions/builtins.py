@@ -95,7 +95,6 @@ def listagg_by(
 
 # -- macros --------------------------------------------------------------------
 _active = threading.local()
-MAX_MACRO_DEPTH = 10
 
 
 def macro(function: Callable[..., Column]) -> Callable[..., Column]:
@@ -113,8 +112,6 @@ def macro(function: Callable[..., Column]) -> Callable[..., Column]:
             raise MacroError(f"macro '{function.__name__}' takes {arity} arguments, got {len(args)}")
         if function.__name__ in stack:
             raise MacroError(f"macro '{function.__name__}' calls itself: {' -> '.join([*stack, function.__name__])}")
-        if len(stack) >= MAX_MACRO_DEPTH:
-            raise MacroError(f"macros nested deeper than {MAX_MACRO_DEPTH}")
         _active.stack = [*stack, function.__name__]
         try:
             return function(*[F.col(a) if isinstance(a, str) else a for a in args])

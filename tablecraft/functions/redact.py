@@ -24,13 +24,13 @@ _FIRST = "".join(sorted({m[0] for m in MARKERS} | set("Bb")))
 PATTERN = f"(?=[{_FIRST}])(?:{_AFTER_BEARER}|{_MARKER_RUN})"
 
 
-def redact(text: Column | str, max_bytes: int | None = MAX_BYTES) -> Column:
+def redact(text: Column | str, max_bytes: int | None = None) -> Column:
     """Replace whatever looks like a credential.
 
     Text with private key material is replaced whole. Elsewhere a token that
     starts with a known marker, and the value after ``Bearer``, become
-    ``[redacted]``. The result is cut at ``max_bytes`` UTF-8 bytes, never inside
-    a character; ``None`` keeps it whole. All built-in expressions, one regex
+    ``[redacted]``. With ``max_bytes`` (:data:`MAX_BYTES` suits an error message)
+    the result is cut there, never inside a character. All built-in expressions, one regex
     pass.
     """
     source = F.col(text) if isinstance(text, str) else text

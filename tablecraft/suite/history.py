@@ -1,7 +1,7 @@
-"""Snapshots: customers who ordered in the last year, as seen at three times.
+"""Snapshots: customers who ordered in the last four years, as seen at three times.
 
 Between two times customers appear, change (a newer order) and vanish (none in
-a year), and some come back.
+four years). The windows of the first two times cover all orders.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from tablecraft.operators.layout import scan
 from tablecraft.sources.warehouse import Warehouse
 from tablecraft.suite.registry import query, table
 
-TIMES = ("1997-01-01", "1997-07-01", "1998-01-01")
+TIMES = ("1998-01-01", "2001-09-01", "2002-03-01")
+YEARS = 4
 KEY, UPDATED = "cust", "updated_at"
 
 
@@ -26,7 +27,7 @@ def clock(n):
 def active_customers(spark, sf_dir, n):
     until = F.lit(TIMES[n]).cast("timestamp_ntz")
     day = F.col("o_orderdate")
-    year = F.timestamp_add("YEAR", F.lit(-1), until)
+    year = F.timestamp_add("YEAR", F.lit(-YEARS), until)
     return (
         table(spark, sf_dir, "orders")
         .where((day > year) & (day <= until))
@@ -35,11 +36,19 @@ def active_customers(spark, sf_dir, n):
     )
 
 
+def all_customers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias(KEY)).agg(
+        F.max("o_orderdate").alias(UPDATED), F.count(F.lit(1)).alias("n_orders"), F.max("o_totalprice").alias("top_price"))
+
+
+EVERY_CUSTOMER = "SELECT o_custkey AS cust, MAX(o_orderdate) AS updated_at, COUNT(*) AS n_orders, MAX(o_totalprice) AS top_price FROM orders GROUP BY o_custkey"
+
+
 def sources(last):
     return ",\n".join(
         f"""s{n} AS (SELECT o_custkey AS cust, MAX(o_orderdate) AS updated_at, COUNT(*) AS n_orders,
         MAX(o_totalprice) AS top_price FROM orders
-        WHERE o_orderdate > TIMESTAMP '{TIMES[n]}' - INTERVAL 1 YEAR AND o_orderdate <= TIMESTAMP '{TIMES[n]}'
+        WHERE o_orderdate > TIMESTAMP '{TIMES[n]}' - INTERVAL {YEARS} YEAR AND o_orderdate <= TIMESTAMP '{TIMES[n]}'
         GROUP BY o_custkey)"""
         for n in range(last + 1)
     )
@@ -68,10 +77,10 @@ def history(last, insert=True, hard=False):
     return "WITH " + ",\n".join(parts)
 
 
-@query("scd_init", f"{history(0)} SELECT * FROM h0")
+@query("scd_init", versioned(EVERY_CUSTOMER, 1))
 def scd_init(spark, sf_dir):
     warehouse = Warehouse(spark)
-    scd.snapshot_run(warehouse, "customers", active_customers(spark, sf_dir, 0), KEY, UPDATED, clock(0))
+    scd.snapshot_run(warehouse, "customers", all_customers(spark, sf_dir), KEY, UPDATED, clock(1))
     return warehouse.read("customers")
 
 

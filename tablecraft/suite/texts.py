@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablecraft.functions.redact import redact
+from tablecraft.functions.redact import MAX_BYTES, redact
 from tablecraft.operators import conversations as conv
 from tablecraft.suite.registry import query, table
 
@@ -187,4 +187,4 @@ def redact_text(spark, sf_dir):
             F.when(F.col("n_chars") > 3000, F.lit("\n-----BEGIN PRIVATE KEY-----")).otherwise(F.lit("")),
         ).alias("t"),
     )
-    return marked.select("doc_id", redact("t", max_bytes=None).alias("whole"), redact("t").alias("cut"))
+    return marked.select("doc_id", redact("t", max_bytes=None).alias("whole"), redact("t", MAX_BYTES).alias("cut"))

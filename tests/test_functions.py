@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions import builtins as fn
 from tablecraft.functions.jobs import JobError, run_script, run_sql
-from tablecraft.functions.redact import KEY_MATERIAL_TEXT, redact
+from tablecraft.functions.redact import KEY_MATERIAL_TEXT, MAX_BYTES, redact
 from tablecraft.functions.routines import (
     Argument, RoutineError, create_function, create_procedure, create_python_function, create_table_function,
 )
@@ -184,7 +184,7 @@ def test_redaction_against_character_by_character(spark):
     texts += ["x" * 511, "x" * 512, "x" * 510 + "é", "x" * 509 + "𝄞" * 3, "x" * 505 + " eyJabc", "x" * 511 + "Bearer", "", "a-----BEGIN RSA",
               "x" * 511 + "eyJ z", "Authorization: Bearer\tabc.def rest", '{"token":"ya29.AbC-d"}', "end 1//"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r["i"]: r for r in df.select("i", redact("t").alias("cut"), redact("t", None).alias("whole")).collect()}
+    got = {r["i"]: r for r in df.select("i", redact("t", MAX_BYTES).alias("cut"), redact("t").alias("whole")).collect()}
     for i, t in enumerate(texts):
         assert got[i]["cut"] == by_hand(t), repr(t)
         assert got[i]["whole"] == by_hand(t, limit=10**9), repr(t)
