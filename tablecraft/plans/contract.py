@@ -38,13 +38,19 @@ def drift_findings(fields: Sequence[Field], df: DataFrame) -> list[Finding]:
     return out
 
 
-def drift(fields: Sequence[Field], df: DataFrame) -> DataFrame:
+def drift(fields: Sequence[Field], df: DataFrame, counts: bool = True) -> DataFrame:
     """The drift report, with how much data each finding concerns.
 
+    Without ``counts`` only column lists are compared, and no data are read.
+
     ``affected_rows`` counts the values of an extra or mismatched column and
     all rows for a missing one. One scan, however many findings.
     """
-    return _with_counts(df, drift_findings(fields, df))
+    found = drift_findings(fields, df)
+    if not counts:
+        uncounted = _with_counts(df.limit(0), found)
+        return uncounted.withColumn("affected_rows", F.lit(None).cast(uncounted.schema["affected_rows"].dataType))
+    return _with_counts(df, found)
 
 
 def file_drift(fields: Sequence[Field], spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -78,10 +80,10 @@ def fn_surrogate_key(spark, sf_dir):
     """,
 )
 def fn_listagg(spark, sf_dir):
-    """A customer may hold a third of all orders: folded in range chunks."""
+    """A customer may hold a third of all orders: folded month by month."""
     value = F.concat("o_orderstatus", F.col("o_orderkey").cast("string"))
     orders = table(spark, sf_dir, "orders")
-    return fn.listagg_by(orders, ["o_custkey"], value, " > ", ["o_orderdate", "o_orderkey"], name="path")
+    return fn.listagg_by(orders, ["o_custkey"], value, " > ", ["o_orderdate", "o_orderkey"], name="path", chunk=F.year("o_orderdate") * 12 + F.month("o_orderdate"))
 
 
 @query(
@@ -97,6 +99,13 @@ def fn_listagg_unordered(spark, sf_dir):
     return listed.withColumn("suppliers", F.array_join(F.array_sort(F.split("suppliers", ",")), ","))
 
 
+@query("fn_now", "SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '2001-09-01') AS age FROM orders")
+def fn_now(spark, sf_dir):
+    """Ages at the run's clock, which is one literal for all rows."""
+    clock = fn.now(dt.datetime(2001, 9, 1, tzinfo=dt.UTC))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fn.datediff("o_orderdate", clock, "day").alias("age"))
+
+
 @query("udf_sql_scalar", "SELECT o_orderkey, round(o_custkey / 100.0, 2) AS dollars FROM orders")
 def udf_sql_scalar(spark, sf_dir):
     create_function(spark, "tc_dollars", [Argument("cents", "INT64")], "ROUND(cents / 100.0, 2)", "FLOAT64")
