@@ -238,3 +238,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+#: The same rows by counting common shingles of all pairs that share one.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y, c = nx.size AND c = ny.size AS same FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 5 * c >= 4 * (nx.size + ny.size - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other),
+classes AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id),
+counted AS (SELECT x AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS n_same FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_same, 0) + 1 AS n_copies
+FROM classes LEFT JOIN counted USING (doc_id)
+"""

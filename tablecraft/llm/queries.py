@@ -31,4 +31,5 @@ QUERIES["op6_document_fingerprints"] = fingerprints.op6
 QUERIES["op7_decontamination"] = decontamination.op7_decontamination
 QUERIES["op8_lm_scoring"] = pseudo_likelihood.op8_lm_scoring
 QUERIES["op9_jaccard_join"] = jaccard.op9_jaccard_join
+ORACLES["op9_jaccard_join"] = jaccard.OP9_SQL
 QUERIES["op10_token_counts"] = tokencount.op10_token_counts

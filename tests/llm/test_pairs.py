@@ -282,3 +282,22 @@ def test_edited_digest_is_sha256_of_utf8(spark):
     assert row["h"] == hashlib.sha256("é\U0001F600".encode()).hexdigest()
     assert {"pipeline", *[n for n in driver.queries() if n.startswith("op")]} <= set(driver.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in driver.queries() if n.startswith("op")) == list(range(1, 11))
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_links_against_sql(spark):
+    from tablecraft.llm.queries import ORACLES, QUERIES
+    from tests.compare import connect, duck_rows, spark_rows
+
+    assert spark_rows(QUERIES["op9_jaccard_join"](spark, SMALL)) == duck_rows(connect(SMALL), ORACLES["op9_jaccard_join"])
+
+
+def test_every_query_covers_its_table(spark):
+    from tablecraft.llm.queries import QUERIES
+
+    ids = {r[0] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()}
+    for name in QUERIES:
+        if name.startswith("op") and name != "op7_decontamination":  # that one lists finds only
+            assert {r[0] for r in QUERIES[name](spark, SMALL).select("doc_id").collect()} == ids, name
