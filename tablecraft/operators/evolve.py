@@ -74,12 +74,12 @@ def plan_change(current: Sequence[str], comments: dict[str, str], fields: Sequen
 def drop_problems(drops: Sequence[str], consumers: Consumers) -> list[str]:
     """Why columns may not be dropped; names ignore case."""
     uses = (
-        ("the unique key of a downstream model or snapshot", consumers.unique_keys),
-        ("the partition column of a downstream model", consumers.partition_fields),
-        ("a cluster column of a downstream model", consumers.cluster_columns),
+        ("a key that models or histories match rows by", consumers.unique_keys),
+        ("what a table is partitioned by", consumers.partition_fields),
+        ("among the columns a table is clustered by", consumers.cluster_columns),
     )
     return [
-        f"cannot drop column '{d}': it is {what}"
+        f"column '{d}' has to stay: it is {what}"
         for d in drops
         for what, names in uses
         if d.lower() in {n.lower() for n in names}

@@ -21,15 +21,17 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from contextlib import suppress
 from dataclasses import dataclass, field
 from typing import Any
 from zoneinfo import ZoneInfo
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablecraft.functions import builtins as fn
 from tablecraft.operators import incremental as inc
-from tablecraft.operators.evolve import columns_from_fields
+from tablecraft.operators.evolve import Consumers, columns_from_fields, evolve
 from tablecraft.operators.layout import Filter, Layout, condition, scan
 from tablecraft.plans.contract import check_contract
 from tablecraft.plans.definition import code_text
@@ -149,6 +151,7 @@ class _Run:
         self._project = project
         self.run_ts = run_ts
         self._frames: dict[str, DataFrame] = {}
+        self.asked: set[tuple[str, str]] = set()
         self._open: list[str] = []
 
     def body(self, model: Model, incremental: bool = False) -> DataFrame:
@@ -162,6 +165,7 @@ class _Run:
 
     def ref(self, name: str, asking: str, where: Iterable[Filter] = ()) -> DataFrame:
         model = self._project.find(name, asking)
+        self.asked.add((asking, name))
         if model.materialized in ("ephemeral", "view"):
             if name not in self._frames:
                 self._frames[name] = self.body(model)
@@ -341,6 +345,38 @@ class Project:
         self.run(name, run_ts=now)
         return True
 
+    def consumers(self, name: str) -> Consumers:
+        """Key, partition and cluster columns of the models that build on a table.
+
+        Bodies are called to see what they refer to (nothing is computed), also
+        through views and ephemeral models; one that cannot be built yet counts by
+        what it referred to until then.
+        """
+        run = _Run(self, self._clock(None))
+        for model in self.models.values():
+            with suppress(ProjectError, AnalysisException):
+                run.body(model)
+        above: dict[str, set[str]] = {}
+        for asking, asked in run.asked:
+            above.setdefault(asked, set()).add(asking)
+        found: set[str] = set()
+        todo = [name]
+        while todo:
+            for model in above.get(todo.pop(), set()) - found:
+                found.add(model)
+                if self.models[model].materialized in ("ephemeral", "view"):
+                    todo.append(model)
+        using = [self.models[m] for m in sorted(found)]
+        return Consumers(
+            unique_keys=[k for m in using for k in m.unique_key],
+            partition_fields=[r.field for m in using for r in m.layout.rules],
+            cluster_columns=[c for m in using for c in m.layout.cluster_by],
+        )
+
+    def evolve(self, name: str, fields: Sequence[Field]) -> Manifest:
+        """Change the columns of a model's table; columns that other models rely on are not dropped."""
+        return evolve(self.warehouse, name, fields, self.consumers(name))
+
     def drop(self, name: str) -> None:
         """Forget a model; its table goes too unless it is managed elsewhere."""
         model = self.models.pop(name)

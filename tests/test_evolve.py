@@ -81,7 +81,7 @@ def test_descriptions(people):
 )
 def test_needed_columns_are_not_dropped(people, consumers):
     drop = [ID, Field("n", "INT64", alter="insert"), NAME, Field("old_col", "STRING", alter="delete")]
-    with pytest.raises(SchemaError, match="cannot drop column 'old_col'"):
+    with pytest.raises(SchemaError, match="column 'old_col' has to stay"):
         evolve(people, "t", drop, consumers)
     assert people.read("t").columns == ["id", "name", "old_col"]
 
@@ -94,7 +94,7 @@ def test_layout_follows_a_rename(spark, warehouse):
     assert scan(warehouse, "t", [("seen", ">=", dt.datetime(2024, 1, 4))]).count() == 2
     inc.append(warehouse, "t", spark.sql("SELECT 9L AS key, timestamp_ntz'2024-01-04 01:00:00' AS seen"))
     assert scan(warehouse, "t", [("seen", ">=", dt.datetime(2024, 1, 4))]).count() == 3
-    with pytest.raises(SchemaError, match="cannot drop column 'seen'"):
+    with pytest.raises(SchemaError, match="column 'seen' has to stay"):
         evolve(warehouse, "t", [Field("key", "INT64"), Field("seen", "DATETIME", alter="delete")])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tablecraft.operators.layout import LayoutError
 from tablecraft.plans.contract import ContractError
 from tablecraft.plans.project import Project, ProjectError, create_sql_view, replace_contents
-from tablecraft.plans.schema import Field
+from tablecraft.plans.schema import Field, SchemaError
 from tests.conftest import as_rows
 
 SF = "/root/testdata/sf0.001"
@@ -272,3 +272,29 @@ def test_references_carry_filters(project):
     assert project.read("late", where=[("id", "<", 9)]).count() == 2
     with pytest.raises(LayoutError, match="requires a filter"):
         project.read("days")
+
+
+def test_columns_that_other_models_rely_on_are_not_dropped(project):
+    @project.model()
+    def base(ctx):
+        return ctx.spark.sql("SELECT id, id % 3 AS part, 'x' AS note FROM range(9)")
+
+    @project.model(materialized="view")
+    def between(ctx):
+        return ctx.ref("base").where("id > 1")
+
+    @project.model(materialized="incremental", unique_key="part")
+    def reader(ctx):
+        return ctx.ref("between").groupBy("part").count()
+
+    @project.model(cluster_by=["gone"])
+    def broken(ctx):
+        return ctx.ref("nothing_yet")
+
+    project.run("base")
+    assert list(project.consumers("base").unique_keys) == ["part"] and not project.consumers("reader").unique_keys
+    columns = [Field("id", "INT64"), Field("part", "INT64"), Field("note", "STRING", alter="delete")]
+    project.evolve("base", columns)
+    assert project.warehouse.read("base").columns == ["id", "part"]
+    with pytest.raises(SchemaError, match="column 'part' has to stay"):
+        project.evolve("base", [Field("id", "INT64"), Field("part", "INT64", alter="delete")])
