@@ -239,10 +239,9 @@ def _run_rows(
     opened = opened.where(F.col("__open").isNotNull())
     delta = _delta(opened, _newest(rows, key, updated_at), invalidate_hard_deletes and not null_key).persist()
     try:
-        touched = list(touched_files(delta.where("NOT new")))
-        closing = (
-            delta.where("NOT new").groupBy("__key").agg(F.max(_NEWEST).alias(_NEWEST), F.max("gone").alias("gone"))
-        )
+        closing = delta.where("NOT new").select("__key", _NEWEST, "gone")
+        ending = opened.join(closing, F.col("__open") == F.col("__key")).where(F.col("gone") | (F.col(_NEWEST) > F.col("__dated")))
+        touched = list(touched_files(ending))
         fresh = _without_open_row(rows, delta, closing, opened, key)
         result = _versions(fresh, key, updated_at, run_ts)
         if touched:
@@ -260,16 +259,18 @@ def _run_rows(
 
 
 def _delta(opened: DataFrame, newest: DataFrame, hard_deletes: bool) -> DataFrame:
-    """What a run changes: open rows that end, and keys without an open row.
+    """What a run changes: keys with an open row that ends, and keys without an open row.
 
-    One join of two narrow sides; the result is the increment, so the joins of
-    whole rows against it are against a small side unless much has changed.
+    One join of two narrow sides with a row per key, so a key with many open rows
+    is no task of its own; the result is the increment, so the joins of whole rows
+    against it are against a small side unless much has changed.
     """
+    opened = opened.groupBy("__open").agg(F.min("__dated").alias("__dated"))
     changed = F.coalesce(F.col(_NEWEST) > F.col("__dated"), F.lit(False))
     gone = F.col(_SEEN).isNull() if hard_deletes else F.lit(False)
     joined = opened.join(newest, F.col("__open") == F.col("__key"), "full_outer" if hard_deletes else "right")
     return joined.select(
-        F.coalesce("__key", "__open").alias("__key"), _NEWEST, FILE, F.col("__open").isNull().alias("new"), gone.alias("gone"),
+        F.coalesce("__key", "__open").alias("__key"), _NEWEST, F.col("__open").isNull().alias("new"), gone.alias("gone"),
         changed.alias("changed"),
     ).where("new OR gone OR changed")
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablecraft.operators import snapshot as scd
 from tests.conftest import as_rows
@@ -163,3 +164,21 @@ def test_refusals(spark, warehouse):
         scd.snapshot_run(warehouse, "h", with_null, "id", "at", T[0], strategy="check")
     with pytest.raises(scd.SnapshotError, match="clash"):
         scd.snapshot_init(with_null.withColumnRenamed("v", "DBT_valid_to"), "id", "at", T[0])
+
+
+def test_one_changed_key_keeps_all_open_files_but_its_own(spark, warehouse):
+    def rows(newer):
+        at = F.when(F.col("id") == newer, F.lit("2024-02-01")).otherwise("2024-01-01").cast("timestamp_ntz")
+        return spark.range(0, 8000, 1, 8).select("id", at.alias("at"))
+
+    def files():
+        return {r[0] for r in warehouse.read("h", located=True).where("dbt_valid_to IS NULL").select("__file").distinct().collect()}
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files of a few rows
+    scd.snapshot_run(warehouse, "h", rows(-1), "id", "at", dt.datetime(2024, 1, 5))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    before = files()
+    assert len(before) >= 4
+    scd.snapshot_run(warehouse, "h", rows(77), "id", "at", dt.datetime(2024, 2, 5))
+    assert len(before - files()) == 1
+    assert warehouse.read("h").count() == 8001 and warehouse.read("h").where("dbt_valid_to IS NULL").count() == 8000
