@@ -156,10 +156,11 @@ def fused(weighed: DataFrame, languages: list[str], trust: float = TRUST, smooth
     totals = by_suffix.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]).first()
     everywhere = np.array([float(totals[i] or 0) for i in range(n)])
     overall = F.array(*[F.lit(float(x)) for x in (everywhere + 1) / (everywhere.sum() + n)])
-    levels = (
+    # Stored, so that the join below meets them as a table: broadcast if small, and else splittable at a hot host.
+    levels = stored(
         by_host.select("suffix", "domain", "host", lists.alias("of_host"))
         .join(by_domain.select("suffix", "domain", lists.alias("of_domain")), ["suffix", "domain"])
-        .join(by_suffix.select("suffix", lists.alias("of_suffix")), "suffix"))
+        .join(by_suffix.select("suffix", lists.alias("of_suffix")), "suffix"), "hosts")
 
     own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce((F.col("guess") == i).cast("double"), F.lit(0.0)))
 
