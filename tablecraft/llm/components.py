@@ -22,9 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are stored before they are joined: joins of tables can be split at a hot node, joins of groupings cannot.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        lower = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         graph = stored(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = graph.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
