@@ -10,9 +10,9 @@ The vocabulary is counted over all documents: the commonest words have ids of th
 own, all others share ids by a hash. Training is data-parallel: documents are dealt
 into ``rounds`` by a hash of their text; in each round every task goes through its
 documents of the round by mini-batches, starting from the same weights, and the
-weights of the tasks are averaged, each by the number of places it learned from. Of
-every document each ``stride``-th place is learned from, so training grows with the
-corpus. Every place of every document is scored.
+weights of the tasks are averaged, each by the number of places it learned from. Every
+place of every document is learned from once (a ``stride`` above 1 would leave places
+out), so training grows with the corpus. Every place of every document is scored.
 
 Weights are averaged in parts, over groups of tasks first, so no task sees those of
 all tasks; the driver holds one set of weights and the vocabulary.
@@ -44,7 +44,7 @@ SHARED = 256
 PAD = SIZE
 WIDTH = 24
 PLACES = (-2, -1, 1, 2)
-ROUNDS, STRIDE, BATCH, RATE = 2, 4, 4096, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 1, 2048, 0.1
 #: Numbers per part when weights are averaged, and groups of tasks that are averaged first.
 PART, GROUPS = 8192, 64
 #: Word ids kept per worker; a memory bound without influence on results.

@@ -232,6 +232,14 @@ def test_training_prefers_the_corpus_to_its_shuffle(spark):
     assert rows[0] > rows[1] + 0.5 and rows[0] > -np.log(16)
 
 
+def test_every_place_is_learned_from(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(FILLER) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    marked = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("mark"), "text").coalesce(2)
+    words = pseudo_likelihood.vocabulary(marked)
+    assert np.array_equal(pseudo_likelihood.train(marked, words).flat(), pseudo_likelihood.train(marked, words, stride=1).flat())
+
+
 def test_pseudo_likelihood_edges(odd, none):
     marked = odd.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     words = pseudo_likelihood.vocabulary(marked)
