@@ -2,11 +2,13 @@
 
 The fixed patterns find assignments to credential names, access keys and long
 hexadecimal runs. The method beside them looks at every value in a credential
-context (a wider list of names, followed by a sign) and computes what guessing it
-would cost: the cheapest way to cut the value into common words, dates, repeats,
-keyboard walks and single characters tried one by one. A value is a secret
-(kind ``guess``) if that costs at least ``10 ** least_cost`` guesses. Values inside
-a span of a fixed pattern are not reported again.
+context (a wider list of names, followed by a sign, or "bearer" and white space) and
+computes what guessing it would cost: the cheapest way to cut the value into common
+words, dates, repeats, sequences, keyboard walks, runs of letters that look like a
+word, and single characters tried one by one. A value is a secret (kind ``guess``) if
+that costs at least ``10 ** least_cost`` guesses. A quoted value ends at its own quote.
+Values are cut at spans of fixed patterns: what lies inside is not reported again, what
+lies before is a value still, and so is what follows up to the next delimiter.
 
 Defined results: a null text is empty and has no spans; starts and ends count code
 points, ends are exclusive; equal rows give equal rows; extra columns are not read.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +41,13 @@ _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CONTEXT_NAMES = ("pass", "pwd", "passphrase", "passcode", "credential", "credentials", "login", "auth", "bearer", "private_key",
                  "access_key", "client_key", "signing_key", "pin", "password", "passwd", "secret", "token", "apikey", "api_key")
-CONTEXT = re.compile(f"(?<![A-Za-z])(?:{'|'.join(map(_either, CONTEXT_NAMES))})[\"']?\\s{{0,3}}(?:[:=]|=>|->)\\s{{0,3}}[\"'`]?([!-&(-_a-~]{{6,}})")
+# Any white space of the line, or a little across lines.
+_GAP = r"(?:[^\S\r\n]*|\s{0,3})"
+CONTEXT = re.compile(
+    f"(?<![A-Za-z])(?:(?:{'|'.join(map(_either, CONTEXT_NAMES))})[\"']?{_GAP}(?:=>|->|[:=]){_GAP}|{_either('bearer')}[^\\S\\r\\n]+)"
+    "(?:\"([!#-~]{6,})|'([!-&(-~]{6,})|`([!-_a-~]{6,})|([!#-&(-_a-~][!-&(-_a-~]{5,}))")
+_ENDS = ".,;:)]}>"
+_TAIL = re.compile("[^&,;:?\"'`<>()\\[\\]{}]*")
 _CONTEXT_HINTS = ("pass", "pwd", "credential", "login", "auth", "bearer", "_key", "pin", "secret", "token", "apikey")
 
 # Words that guessers try first, commonest first.
@@ -52,8 +61,12 @@ _LONGEST = max(map(len, WORDS))
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _KEY = {c: (x, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.](?:0[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
-#: What an unlisted run of lower-case letters costs as a word of some language.
-_UNLISTED = 5.0
+#: What an unlisted run of lower-case letters that looks like a word costs, and more for every letter above so many.
+_UNLISTED, _MORE, _USUAL = 5.0, 0.5, 12
+# Frequent letter pairs of words. A run looks like a word if half of its pairs are among them.
+_PAIRS = frozenset((
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be "
+    "ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa").split())
 
 
 def _alphabet(c: str) -> float:
@@ -72,11 +85,21 @@ def _adjacent(a: str, b: str) -> bool:
     return p is not None and q is not None and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
+def _follows(a: str, b: str) -> bool:
+    return a.isalnum() and b.isalnum() and ord(b) == ord(a) + 1
+
+
+def _word_cost(run: str) -> float:
+    """Infinite for a run that does not look like a word: its letters are tried one by one."""
+    frequent = sum(run[i:i + 2] in _PAIRS for i in range(len(run) - 1))
+    return _UNLISTED + _MORE * max(0, len(run) - _USUAL) if 2 * frequent >= len(run) - 1 else math.inf
+
+
 def guess_cost(value: str) -> float:
     """Log10 of the guesses for the value: the minimum over all its segmentations."""
     low, n = value.lower(), len(value)
     best = [0.0] + [math.inf] * n
-    walk_end = run_end = letters_end = 0
+    walk_end = run_end = row_end = letters_end = 0
     for i in range(n):
         at = best[i]
 
@@ -90,6 +113,10 @@ def guess_cost(value: str) -> float:
             if run_end - i >= 3:
                 for j in range(i + 3, run_end + 1):
                     reach(j, _alphabet(value[i]) + math.log10(j - i))
+        if i >= row_end - 1:
+            row_end = _run(low, i, _follows)
+            for j in range(i + 3, row_end + 1):
+                reach(j, _alphabet(value[i]) + math.log10(j - i))
         if i >= walk_end - 1:
             walk_end = _run(low, i, _adjacent)
             if walk_end - i >= 4:
@@ -98,7 +125,7 @@ def guess_cost(value: str) -> float:
         if i >= letters_end and value[i].islower():
             letters_end = _run(value, i, lambda a, b: b.islower())
             if letters_end - i >= 3:
-                reach(letters_end, _UNLISTED)
+                reach(letters_end, _word_cost(value[i:letters_end]))
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(low[i:j])
             if rank:
@@ -110,6 +137,37 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _outside(text: str, start: int, end: int, begins: list[int], ends: list[int]) -> tuple[int, int]:
+    """The part of a value outside the (merged) fixed spans: up to the next one, or from the end of the one it starts in."""
+    k = bisect_right(begins, start)
+    if k and start < ends[k - 1]:
+        start = ends[k - 1]
+        end = max(start, min(end, _TAIL.match(text, start).end()))
+    return start, min([end, *begins[k:k + 1]])
+
+
+def guesses(text: str, fixed: list[tuple[str, int, int]], least_cost: float) -> Iterator[tuple[str, int, int]]:
+    begins, ends = [], []
+    for _, a, b in sorted(fixed, key=lambda s: s[1:]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    at = 0
+    while m := CONTEXT.search(text, at):
+        start, end = _outside(text, m.start(m.lastindex), m.end(), begins, ends)
+        # A quoted value is whole; one without quotes may have the marks of a sentence behind it.
+        closed = m.lastindex < 4 and text[end:end + 1] == text[m.start(m.lastindex) - 1]
+        if not closed:
+            end = start + len(text[start:end].rstrip(_ENDS + '"'))
+        if end - start >= 6 and guess_cost(text[start:end]) >= least_cost:
+            yield "guess", start, end
+            at = end
+        else:  # a name inside, as in "auth: bearer ..."
+            at = max(start, m.start(m.lastindex))
+
+
 def spans_of(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind in the order of ``KINDS``."""
     low = text.lower()
@@ -120,12 +178,7 @@ def spans_of(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, int,
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(hint in low for hint in _CONTEXT_HINTS):
-        fixed = list(found)
-        for m in CONTEXT.finditer(text):
-            value = m.group(1).rstrip(".,;:)]}>")
-            start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(a < end and start < b for _, a, b in fixed) and guess_cost(value) >= least_cost:
-                found.append(("guess", start, end))
+        found += list(guesses(text, found, least_cost))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -109,6 +109,23 @@ def test_guess_cost():
     assert secrets.guess_cost("Ab3$" * 5000) > 100
 
 
+def test_values_in_plain_contexts():
+    def guessed(text):
+        return [text[a:b] for kind, a, b in secrets.spans_of(text) if kind == "guess"]
+
+    secret = "q9Zr7LpX2wK4"
+    for text in ("pwd" + " " * 9 + "= " + secret, "pwd =" + "\t" * 5 + secret, "Authorization: Bearer " + secret, "auth: bearer " + secret, "pwd => " + secret,
+                 '"auth": "Bearer ' + secret + '"', '{"auth":"' + secret + '","token":"abcdef123456"}', "{'auth':'" + secret + "','token':'abcdef123456'}",
+                 "auth=" + secret + '","token":"abcdef123456"}', "(login: " + secret + ")."):
+        assert guessed(text) == [secret], text
+    assert guessed("password=hunter2$Kq9!zZpW3x") == ["$Kq9!zZpW3x"] and guessed("token=abcdef123456&next=/q9Zr7LpX2wK4/x") == []
+    assert guessed('pwd="' + secret + ')."') == [secret + ")."]
+    assert guessed("pwd: qzxkvjwpmhtrlb") == ["qzxkvjwpmhtrlb"]
+    for text in ("login: certificates", "the bearer instruments", "pass: responsibilities", "pwd: abcdefghijkl", "pin: something"):
+        assert guessed(text) == [], text
+    assert len(guessed("auth=token=" * 20_000 + secret)) <= 1
+
+
 def test_redaction(spark, docs_of):
     from pyspark.sql import functions as F
 
