@@ -13,8 +13,9 @@ every language and normalised:
   ``smoothing`` documents. A document does not count in its own prior.
 
 Suffixes and hosts are counted by grouped aggregation of what the text and the
-declaration say. Only trigram counts per language (``BUCKETS`` numbers each, for at most ``most``
-languages, the most declared ones) and suffix counts of those reach the driver.
+declaration say. Every declared language is one, however many there are and however
+rarely declared. Trigram counts per language (``BUCKETS`` numbers each) and how often
+each is guessed reach the driver.
 
 A document is accepted if its text has letters and the best language has at least
 ``least`` probability.
@@ -39,7 +40,6 @@ from pyspark.sql import functions as F
 from tablecraft.llm.common import stored, whole
 
 BUCKETS = 1 << 13
-MOST = 64
 TEXT_GRAMS = 60
 TRUST = 0.9
 SMOOTHING = 20.0
@@ -81,31 +81,32 @@ def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declar
     return docs.select(*keys(doc_id, text, declared, host), whole(F.col(text)).alias("text"))
 
 
-def learn(rows: DataFrame, most: int = MOST) -> tuple[list[str], np.ndarray]:
+def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and, for each, the log-probability of every trigram bucket."""
-    top = rows.where("declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most).collect()
-    languages = sorted(r["declared"] for r in top)
+    languages = sorted(r["declared"] for r in rows.where("declared <> ''").select("declared").distinct().collect())
+    position = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {name: np.zeros(BUCKETS, np.int64) for name in languages}
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if name in total:
-                    total[name] += np.bincount(trigrams(text), minlength=BUCKETS)
+                if name:
+                    counts = np.bincount(trigrams(text), minlength=BUCKETS)
+                    total[name] = total[name] + counts if name in total else counts
         for name, counts in total.items():
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["declared", "bucket", "n"])
 
     table = np.full((len(languages), BUCKETS), 0.5)
     counted = rows.select("declared", "text").mapInArrow(count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
-    for r in counted.collect():  # at most ``most`` times BUCKETS
-        table[languages.index(r["declared"]), r["bucket"]] += r["n"]
+    for r in counted.toLocalIterator():  # at most BUCKETS a language
+        table[position[r["declared"]], r["bucket"]] += r["n"]
     return languages, np.log(table / table.sum(1, keepdims=True))
 
 
 def evidence(rows: DataFrame, languages: list[str], table: np.ndarray, text_grams: int = TEXT_GRAMS) -> DataFrame:
     """The rows with the log-likelihood of the text for each language instead of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))  # ``most`` times BUCKETS numbers
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))  # BUCKETS numbers a language
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = shared.value
@@ -146,21 +147,27 @@ def fused(weighed: DataFrame, languages: list[str], trust: float = TRUST, smooth
     declared = F.transform(names, lambda name: F.when(known, F.when(name == F.col("declared"), F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(wrong if n > 1 else 1))))).otherwise(F.lit(0.0)))
     first = weighed.withColumn("seen", _plus(F.col("text"), declared)).withColumn("guess", F.when((F.col("letters") > 0) | known, _best(F.col("seen"))))
 
-    # Counts of guessed languages, as arrays, per level; levels above are sums of those below.
-    ones = [F.sum((F.col("guess") == i).cast("long")).alias(f"n{i}") for i in range(n)]
-    lists = F.array(*[F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("double") for i in range(n)])
-    by_host = first.groupBy("suffix", "domain", "host").agg(*ones)
-    up = lambda frame, *keys: frame.groupBy(*keys).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)])
+    # Counts of guessed languages, one row per language met; levels above are sums of those below.
+    by_host = first.groupBy("suffix", "domain", "host", "guess").agg(F.count("*").alias("n"))
+    up = lambda frame, *keys: frame.groupBy(*keys, "guess").agg(F.sum("n").alias("n"))
     by_domain = up(by_host, "suffix", "domain")
     by_suffix = up(by_domain, "suffix")
-    totals = by_suffix.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]).first()
-    everywhere = np.array([float(totals[i] or 0) for i in range(n)])
+
+    def listed(frame: DataFrame, into: str, *keys: str) -> DataFrame:
+        """The counts of each key as an array over the languages."""
+        met = F.map_from_entries(F.collect_list(F.when(F.col("guess").isNotNull(), F.struct("guess", F.col("n").cast("double")))))
+        full = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+        return frame.groupBy(*keys).agg(met.alias("met")).select(*keys, full(F.col("met")).alias(into))
+
+    everywhere = np.zeros(n)
+    for r in up(by_suffix).where("guess is not null").collect():
+        everywhere[r["guess"]] = r["n"]
     overall = F.array(*[F.lit(float(x)) for x in (everywhere + 1) / (everywhere.sum() + n)])
     # Stored, so that the join below meets them as a table: broadcast if small, and else splittable at a hot host.
     levels = stored(
-        by_host.select("suffix", "domain", "host", lists.alias("of_host"))
-        .join(by_domain.select("suffix", "domain", lists.alias("of_domain")), ["suffix", "domain"])
-        .join(by_suffix.select("suffix", lists.alias("of_suffix")), "suffix"), "hosts")
+        listed(by_host, "of_host", "suffix", "domain", "host")
+        .join(listed(by_domain, "of_domain", "suffix", "domain"), ["suffix", "domain"])
+        .join(listed(by_suffix, "of_suffix", "suffix"), "suffix"), "hosts")
 
     own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce((F.col("guess") == i).cast("double"), F.lit(0.0)))
 

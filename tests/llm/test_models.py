@@ -168,6 +168,17 @@ def test_fusion_against_plain_python(spark):
     assert np.mean([found[r[0]]["language"] == r[2] for r in rows[:240]]) > 0.99
 
 
+def test_every_declared_language_is_known(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(5)
+    words = [["".join(rng.choice(letters) for _ in range(7)) for _ in range(12)] for _ in range(80)]
+    names = [a + b for a in letters[:8] for b in letters[:10]]
+    rows = [(k * 10 + j, " ".join(rng.choice(words[k]) for _ in range(12)), names[k], "") for k in range(80) for j in range(6 if k < 64 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["id"]: r for r in language.identify(language.prepared(docs, host=F.col("source"))).collect()}
+    assert all(found[i]["language"] == name and found[i]["accepted"] for i, _, name, _ in rows)
+
+
 def test_text_overrules_a_wrong_declaration(spark):
     rows = language_rows() + [(999, LANGUAGES["fr"], "en", "fr.example.com")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
