@@ -130,6 +130,24 @@ def test_passages_against_all_alignments(spark):
     assert (61, 0) in found
 
 
+def test_every_accepted_pattern_holds_a_seed():
+    width = max(m[-1] for m in decontamination.MASKS) + 2
+    masks = [sum(1 << (m[-1] + 1 - p - d) for p in m for d in (0, 1)) for m in decontamination.MASKS]
+    # For the last words of a pattern without a seed (1: equal), the fewest substituted words it can have.
+    fewest = {0: 0}
+    for length in range(1, 61):
+        grown = {}
+        for last, missed in fewest.items():
+            for equal in (0, 1):
+                seen = last << 1 | equal
+                if not any(seen & m == m for m in masks):
+                    key = seen & ((1 << width - 1) - 1)
+                    grown[key] = min(missed + 1 - equal, grown.get(key, length))
+        fewest = grown
+        missed = min(fewest.values())
+        assert length - missed < decontamination.LEAST_WORDS or length - missed < decontamination.LEAST_SHARE * length, length
+
+
 def test_passage_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE), (2, None), (3, ""), (4, "short")], "item_id long, text string")
     rows = decontamination.passages(odd, bench).collect()
