@@ -1,11 +1,11 @@
-"""Near-duplicate documents: an LSH forest over MinHash signatures, verified exactly.
+"""Near-duplicate documents: LSH banding over MinHash signatures, verified exactly.
 
 A document is the set of its five-word shingles. Documents of equal sets form a
 node and are treated once, whatever their number. Each node has ``trees``
-signatures of up to ``labels`` MinHash labels, which are its paths in as many prefix
-tries. All paths are cut at the same depth: the whole signature first, shortened
-label by label until two sets of the threshold's likeness share a path in some trie
-with probability ``recall`` (:func:`depth_for`). Nodes that share a path are linked
+signatures of one depth, each hashed into one key, its path. The depth is fixed by
+the parameters, whatever the data: the most labels, ``labels`` at most, with which two
+sets of the threshold's likeness share a path in some tree with probability ``recall``
+(:func:`depth_for`). Nodes that share a path are linked
 to the smallest of them, so a path costs as many rows as it has nodes, and the
 connected clusters hold every candidate pair.
 
