@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import decontamination, fingerprints, jaccard, language, licences, packing, pseudo_likelihood, secrets, tokencount, toxicity
+from tablecraft.llm import decontamination, fingerprints, jaccard, language, licences, packing, pseudo_likelihood, secrets, spelling, tokencount, toxicity
 from tablecraft.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,5 @@ QUERIES["op8_lm_scoring"] = pseudo_likelihood.op8_lm_scoring
 QUERIES["op9_jaccard_join"] = jaccard.op9_jaccard_join
 ORACLES["op9_jaccard_join"] = jaccard.OP9_SQL
 QUERIES["op10_token_counts"] = tokencount.op10_token_counts
+QUERIES["op13_spelling_variants"] = spelling.op13_spelling_variants
+ORACLES["op13_spelling_variants"] = spelling.OP13_SQL

@@ -1,0 +1,110 @@
+"""Spelling variants against plain Python."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablecraft.llm import spelling
+from tests.llm.conftest import odd_rows
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
+
+
+def by_hand(rows, times=5):
+    n = Counter()
+    for i, text in rows:
+        for run in RUN.findall(text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 199 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            n[run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 6 and c >= times}
+    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+def rows_of(frame):
+    return sorted(tuple(r) for r in frame.select("word", "form", "root", "n", "n_near", "form_n").collect())
+
+
+def edited(word, rng, letters):
+    kind, at = rng.randrange(3), rng.randrange(len(word) + 1)
+    if kind == 0:
+        return word[:at] + rng.choice(letters) + word[at:]
+    at = min(at, len(word) - 1)
+    return word[:at] + (rng.choice(letters) if kind == 1 else "") + word[at + 1:]
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh", "ab", "aéÿ÷Z"])
+def test_variants_by_hand(spark, letters):
+    rng = random.Random(letters)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(5, 12))) for _ in range(40)]
+    texts = []
+    for i in range(120):
+        picked = [w for w in words for _ in range(rng.choice((0, 1, 1 + (len(w) % 3) * 4)))]
+        picked += [edited(rng.choice(words), rng, letters) for _ in range(40)]
+        picked += [edited(edited(words[k], rng, letters), rng, letters) for k in range(6)]
+        rng.shuffle(picked)
+        texts.append((i, " 7,".join(picked)))
+    found = rows_of(spelling.variants(spark.createDataFrame(texts, "doc_id long, text string")))
+    wanted = by_hand(texts)
+    assert found == wanted and len(wanted) > 20
+    assert any(r[1] for r in wanted)
+
+
+def test_chains_lead_to_their_root(spark):
+    texts = [(1, " ".join(["harbour"] * 625 + ["harbours"] * 125 + ["harbourss"] * 25 + ["harboursss"] * 5))]
+    found = {r[0]: r[1:] for r in rows_of(spelling.variants(spark.createDataFrame(texts, "doc_id long, text string"), every=10 ** 10))}
+    assert found["harboursss"] == ("harbourss", "harbour", 5, 1, 25)
+    assert found["harbour"] == (None, "harbour", 625, 1, None)
+    assert spelling.roots(spark.createDataFrame([(f"w{i:02}", f"w{i + 1:02}") for i in range(40)], "word string, form string")).where("root <> 'w40'").count() == 0
+
+
+def test_ties_take_the_smallest_word(spark):
+    texts = [(1, " ".join(["lanterx"] * 5 + ["lanterz"] * 50 + ["lantera"] * 50 + ["lantern"] * 49))]
+    found = {r[0]: r[1] for r in rows_of(spelling.variants(spark.createDataFrame(texts, "doc_id long, text string"), every=10 ** 10))}
+    assert found["lanterx"] == "lantera"
+
+
+def test_a_chunk_shared_by_all_words(spark):
+    """One hot chunk: every word begins alike."""
+    rng = random.Random(4)
+    words = {"begins" + "".join(rng.choice("abc") for _ in range(6)) for _ in range(300)}
+    texts = [(i, " ".join(words)) for i in range(6)]
+    assert rows_of(spelling.variants(spark.createDataFrame(texts, "doc_id long, text string"))) == by_hand(texts)
+
+
+def test_odd_rows(spark, odd, none):
+    assert rows_of(spelling.variants(odd)) == by_hand([r[:2] for r in odd_rows()])
+    assert spelling.variants(none).count() == 0
+    assert spelling.variants(odd.where("text is null or text = ''")).count() == 0
+
+
+def test_letter_sets(spark):
+    row = spark.range(1).select(spelling.letter_set(F.lit("abca")).alias("a"), spelling.letter_set(F.lit("abé")).alias("b")).first()
+    assert row["a"].bit_count() == 3 and bin((row["a"] ^ row["b"]) & (1 << 64) - 1).count("1") == 2
