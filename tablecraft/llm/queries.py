@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecraft.llm import decontamination, fingerprints, jaccard, language, licences, packing, pseudo_likelihood, repair, secrets, spelling, tokencount, toxicity
+from tablecraft.llm import decontamination, fingerprints, jaccard, language, licences, onepass, packing, pseudo_likelihood, repair, secrets, spelling, tokencount, toxicity
 from tablecraft.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,5 +35,7 @@ ORACLES["op9_jaccard_join"] = jaccard.OP9_SQL
 QUERIES["op10_token_counts"] = tokencount.op10_token_counts
 QUERIES["op11_conversation_repair"] = repair.op11_conversation_repair
 ORACLES["op11_conversation_repair"] = repair.OP11_SQL
+QUERIES["op12_minhash_near_dedup"] = onepass.op12_minhash_near_dedup
+ORACLES["op12_minhash_near_dedup"] = onepass.OP12_SQL
 QUERIES["op13_spelling_variants"] = spelling.op13_spelling_variants
 ORACLES["op13_spelling_variants"] = spelling.OP13_SQL
