@@ -30,7 +30,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablecraft.functions import builtins as fn
+from tablecraft.operators import aggregates
 from tablecraft.operators import incremental as inc
+from tablecraft.operators.aggregates import Aggregate
 from tablecraft.operators.evolve import Consumers, columns_from_fields, evolve
 from tablecraft.operators.layout import Filter, Layout, condition, scan
 from tablecraft.plans.contract import check_contract
@@ -66,6 +68,7 @@ class Model:
     enable_refresh: bool = False
     refresh_interval_minutes: int | None = None
     max_staleness: dt.timedelta | None = None
+    aggregate: Aggregate | None = None
 
     def definition(self, variables: Mapping[str, Any] | None = None) -> str:
         """Changes when the body, what it uses, or the configuration changes."""
@@ -73,7 +76,7 @@ class Model:
         config = (
             self.materialized, self.unique_key, self.incremental_strategy, self.layout, self.schema,
             sorted(self.properties.items(), key=str),
-        )
+        ) + ((self.aggregate,) if self.aggregate is not None else ())
         return hashlib.sha256((text + repr(config)).encode()).hexdigest()
 
     def problems(self) -> list[str]:
@@ -88,7 +91,7 @@ class Model:
             out.append("enable_refresh goes only with a materialized_view")
         if self.refresh_interval_minutes is not None and not self.enable_refresh:
             out.append("refresh_interval_minutes needs enable_refresh=True")
-        return out
+        return out + (self.aggregate.problems() if self.aggregate is not None else [])
 
 
 class Context:
@@ -169,15 +172,20 @@ class _Run:
         if model.materialized in ("ephemeral", "view"):
             if name not in self._frames:
                 self._frames[name] = self.body(model)
-            df = self._frames[name]
-            for column, op, value in where:
-                df = df.where(condition(column, op, value, df.schema[column].dataType))
-            return df
+            return _filtered(self._frames[name], where)
         if not self._project.warehouse.exists(name):
             raise ProjectError(f"model '{name}' has not been run yet (needed by '{asking}')")
+        if model.aggregate is not None:
+            return _filtered(model.aggregate.result(self._project.warehouse.read(name, guarded=False)), where)
         return scan(self._project.warehouse, name, where)
 
 
+def _filtered(df: DataFrame, where: Iterable[Filter]) -> DataFrame:
+    for column, op, value in where:
+        df = df.where(condition(column, op, value, df.schema[column].dataType))
+    return df
+
+
 class Project:
     """Models over sources, stored in one warehouse."""
 
@@ -246,6 +254,28 @@ class Project:
 
         return declare
 
+    def aggregate_view(
+        self,
+        name: str,
+        view: Aggregate,
+        enable_refresh: bool = False,
+        refresh_interval_minutes: int | None = None,
+        max_staleness: dt.timedelta | None = None,
+        cluster_by: Sequence[str] | str | None = None,
+    ) -> None:
+        """Declare a materialized view that is refreshed from what changed in its table.
+
+        It is built whole once, when its definition changes, and when its table was
+        replaced or re-declared (see :mod:`tablecraft.operators.aggregates`).
+        """
+        made = Model(
+            name=name, body=lambda ctx: view.whole(ctx.ref(view.table)), materialized="materialized_view", layout=Layout.of(None, cluster_by, False, None),
+            enable_refresh=enable_refresh, refresh_interval_minutes=refresh_interval_minutes, max_staleness=max_staleness, aggregate=view)
+        found = made.problems()
+        if found:
+            raise ProjectError(f"model '{name}': " + "; ".join(found))
+        self.models[name] = made
+
     # -- lookup ------------------------------------------------------------------
     def find(self, name: str, asking: str | None = None) -> Model:
         if name not in self.models:
@@ -296,6 +326,8 @@ class Project:
             df = run.body(model, incremental=True)
             self._check(model, df)
             return inc.apply_strategy(self.warehouse, name, df, model.incremental_strategy, model.unique_key)
+        if model.aggregate is not None:
+            return self._aggregate(model, run, unchanged and not full_refresh)
         df = run.body(model)
         self._check(model, df)
         stamp = {_DEFINITION: model.definition(self.vars), _REFRESHED: run.run_ts.isoformat()}
@@ -310,6 +342,14 @@ class Project:
             run_ts=run.run_ts,
         )
 
+    def _aggregate(self, model: Model, run: _Run, by_change: bool) -> Manifest:
+        view = model.aggregate
+        if not self.warehouse.exists(view.table):
+            raise ProjectError(f"model '{view.table}' has not been run yet (needed by '{model.name}')")
+        stamp = {_DEFINITION: model.definition(self.vars), _REFRESHED: run.run_ts.isoformat()}
+        done = aggregates.refresh(self.warehouse, model.name, view, stamp) if by_change else None
+        return done or aggregates.build(self.warehouse, model.name, view, model.layout, {**model.properties, **stamp}, run.run_ts)
+
     def _check(self, model: Model, df: DataFrame) -> None:
         rule = model.layout.rules[0] if model.layout.rules else None
         load_time = rule is not None and rule.field == "run_ts"

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.builtins import cents_to_dollars, macro
 from tablecraft.functions.jobs import run_script, run_sql
+from tablecraft.operators import aggregates
+from tablecraft.operators import incremental as inc
+from tablecraft.operators.aggregates import Aggregate
+from tablecraft.operators.layout import Layout, time_partition
 from tablecraft.plans.project import Project, replace_contents
 from tablecraft.sources.warehouse import Warehouse
 from tablecraft.suite.registry import query, table
@@ -150,6 +154,46 @@ def mat_mv_refresh(spark, sf_dir):
     return made.read("status_totals")
 
 
+@query(
+    "mat_mv_delta",
+    """
+    WITH changed AS (
+      SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'P' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, o_orderdate,
+             CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END * CAST(o_totalprice AS DECIMAL(18, 2)) AS price
+      FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01')
+    SELECT o_orderstatus, o_orderpriority, COUNT(*) AS orders, SUM(CAST(price AS DECIMAL(18, 2))) AS revenue,
+           MIN(CAST(price AS DECIMAL(18, 2))) AS lowest, MAX(CAST(price AS DECIMAL(18, 2))) AS highest, MAX(o_orderdate) AS latest
+    FROM changed GROUP BY 1, 2
+    """,
+)
+def mat_mv_delta(spark, sf_dir):
+    """A view over orders by month, refreshed after an append, a merge, a delete+insert and the expiry of a year."""
+    start = dt.datetime(2024, 1, 1)
+    made = project(spark, sf_dir)
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    orders = made.source("raw", "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", price.alias("price"))
+    before = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    made.warehouse.create("orders_kept", orders.where(before), Layout(rules=(time_partition("o_orderdate", "YEAR"),)))
+    made.aggregate_view("status_totals", Aggregate(
+        "orders_kept", {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority"},
+        {"orders": aggregates.count(), "revenue": aggregates.total("price"), "lowest": aggregates.least("price"),
+         "highest": aggregates.greatest("price"), "latest": aggregates.greatest("o_orderdate")}), enable_refresh=True, refresh_interval_minutes=60)
+    made.refresh_if_stale("status_totals", start)
+
+    made.warehouse.append("orders_kept", orders.where(~before))
+    made.refresh_if_stale("status_totals", start + dt.timedelta(hours=2))
+    doubled = orders.where("o_orderkey % 7 = 0").withColumn("price", (F.col("price") * 2).cast("decimal(18,2)"))
+    inc.merge(made.warehouse, "orders_kept", doubled, "o_orderkey")
+    made.refresh_if_stale("status_totals", start + dt.timedelta(hours=4))
+    pending = made.warehouse.read("orders_kept").where("o_orderkey % 11 = 0").withColumn("o_orderstatus", F.lit("P"))
+    inc.delete_insert(made.warehouse, "orders_kept", pending, "o_orderkey")
+    kept = made.warehouse.manifest("orders_kept")
+    old = [s for s in kept.segments if "=1995" in s]
+    made.warehouse.publish(kept, made.warehouse.read("orders_kept").limit(0), replaced=old)
+    made.refresh_if_stale("status_totals", start + dt.timedelta(hours=6))
+    return made.read("status_totals")
+
+
 @query("replace_contents", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'")
 def replace_all(spark, sf_dir):
     made = project(spark, sf_dir)
