@@ -98,9 +98,10 @@ def stream_snapshot(
     return _start(source, checkpoint, _once(warehouse, name, lambda: stream_identity(warehouse, checkpoint), work), trigger)
 
 
-def _start(source: DataFrame, checkpoint: str, handle, trigger: dict[str, Any] | None) -> StreamingQuery:
+def _start(source: DataFrame, checkpoint: str, handle, trigger: dict[str, Any] | None, mode: str = "append") -> StreamingQuery:
     return (
         source.writeStream.foreachBatch(handle)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

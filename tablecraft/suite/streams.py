@@ -6,11 +6,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tablecraft.operators.conversations import parse_messages
 from tablecraft.operators.layout import Layout, time_partition
 from tablecraft.sources.files import fresh_folder
 from tablecraft.sources.warehouse import Warehouse
+from tablecraft.streaming.folding import stream_fold
 from tablecraft.streaming.microbatch import read_new_files, stream_incremental, stream_snapshot
 from tablecraft.suite.registry import query, table
+from tablecraft.suite.texts import FOLDED, messages
 
 FILES_PER_BATCH = 12
 RUN = dt.datetime(2024, 3, 1)
@@ -78,3 +81,19 @@ def stream_scd(spark, sf_dir):
             "user_id", "updated_at", clock=lambda batch: RUN + dt.timedelta(days=batch),
         ).awaitTermination()
     return warehouse.read("users").select("user_id", "updated_at", "n", "dbt_valid_from", "dbt_valid_to")
+
+
+@query("stream_conv_fold", f"WITH {FOLDED} SELECT * FROM f")
+def stream_conv_fold(spark, sf_dir):
+    """All messages arrive in three cuts across conversations and turns, a third of them twice; each cut is folded into what is there."""
+    sent = messages(spark, sf_dir).withColumn("cut", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)))
+    again = sent.where("cut = 0").withColumn("cut", F.lit(2).cast("long"))
+    warehouse = Warehouse(spark)
+    arriving = fresh_folder(spark, "messages")
+    for cut in (2, 0, 1):
+        sent.unionByName(again).where(F.col("cut") == cut).drop("cut").write.mode("append").parquet(arriving)
+        stream = read_new_files(spark, arriving, "conv_id long, turn long, message string")
+        typed = parse_messages(stream, "message", ["conv_id", "turn"])
+        stream_fold(typed, warehouse, "folded", f"{arriving}-checkpoint", ["conv_id"], "turn").awaitTermination()
+    return warehouse.read("folded").select(
+        "conv_id", "answer", F.array_join("thoughts", "#").alias("thoughts"), "sql_text", F.coalesce("error", F.lit("-")).alias("error"))
