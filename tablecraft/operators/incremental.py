@@ -16,6 +16,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablecraft.operators import keyindex
 from tablecraft.operators.layout import PartitionRule, literal
 from tablecraft.sources.warehouse import FILE, NULL_DIRECTORY, Manifest, TableError, Warehouse, touched_files
 
@@ -254,8 +255,8 @@ def apply_strategy(
 def _possible_matches(warehouse: Warehouse, base: Manifest, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys and places of the stored rows that the source could match.
 
-    Directories are chosen by name if a partition column is a key; the range of
-    the source's keys goes to the file scan, which skips row groups outside it.
+    Directories are chosen by name if a partition column is a key, files by the key
+    index if the table has one; the range of the source's keys goes to the file scan, which skips row groups outside it.
     One small aggregate of the source decides both.
     """
     ranged = [k for k in keys if isinstance(base.column(k).data_type, _RANGED)]
@@ -271,6 +272,8 @@ def _possible_matches(warehouse: Warehouse, base: Manifest, rows: DataFrame, key
         there = warehouse.spark.createDataFrame(sorted(set(places.values())), schema)
         wanted = {tuple(r) for r in there.join(_with_key(rows, keys).select(*names), schema.names, "left_semi").collect()}
         segments = [s for s in segments if places[s] in wanted]
+    if segments and keyindex.serves(base, keys):
+        segments = keyindex.holding(warehouse, base, rows, keys, segments)
     here = warehouse.read(base.table, version=base.version, segments=segments, located=True, guarded=False)
     if ranged:
         zoned = {k for k in ranged if isinstance(base.column(k).data_type, T.TimestampType)}

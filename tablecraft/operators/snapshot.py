@@ -20,6 +20,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablecraft.operators import digests as dg
+from tablecraft.operators.aggregates import listed_changes
 from tablecraft.operators.layout import Layout, PartitionRule, literal, time_partition
 from tablecraft.sources.warehouse import (
     FILE, Manifest, Warehouse, columns_of, touched_files,
@@ -186,11 +188,14 @@ def snapshot_run(
     auto_optimize: bool = True,
     null_keys: str = "allow",
     strategy: str = "timestamp",
+    digests: bool = False,
     **changes: Any,
 ) -> Manifest:
     """One run against a stored history; the first run creates it.
 
-    Files without a closing row are neither read in full nor rewritten.
+    Files without a closing row are neither read in full nor rewritten. With
+    ``digests`` open rows are not even read where they agree with the source
+    (see :mod:`tablecraft.operators.digests`).
     """
     if strategy not in STRATEGIES:
         raise SnapshotError(f"unknown snapshot strategy '{strategy}'; use {', '.join(STRATEGIES)}")
@@ -198,16 +203,20 @@ def snapshot_run(
         raise SnapshotError("null_keys must be 'allow' or 'reject'")
     key, updated_at = _name(source, key), _name(source, updated_at)
     with warehouse.staged(source) as rows:
+        if digests and warehouse.exists(name):
+            return _run_by_digest(warehouse, name, rows, key, updated_at, run_ts, invalidate_hard_deletes, null_keys, changes)
         return _run_rows(
             warehouse, name, rows, key, updated_at, run_ts, invalidate_hard_deletes, auto_optimize, null_keys, changes
         )
 
 
 def _run_rows(
-    warehouse, name, rows, key, updated_at, run_ts, invalidate_hard_deletes, auto_optimize, null_keys, changes
+    warehouse, name, rows, key, updated_at, run_ts, invalidate_hard_deletes, auto_optimize, null_keys, changes, at=None, facts=None
 ) -> Manifest:
-    empty = null_key = False
-    if invalidate_hard_deletes or null_keys == "reject":
+    empty, null_key = facts or (False, False)
+    if facts is not None:
+        pass
+    elif invalidate_hard_deletes or null_keys == "reject":
         facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(f"`{key}`").isNull()).alias("nulls")).first()
         empty, null_key = facts["n"] == 0, facts["nulls"] > 0
         if null_key and null_keys == "reject":
@@ -218,15 +227,12 @@ def _run_rows(
         )
 
     base = _widened(warehouse.manifest(name), rows)
-    open_rule = next((r for r in base.layout.rules if r.kind == "is_null"), None)
-    candidates = [
-        s for s in base.segments if open_rule is None or warehouse.directory_value(s, open_rule.column) == "true"
-    ]
+    candidates = _open_segments(warehouse, base)
     is_open = F.col(VALID_TO).isNull()
     run_time = literal(run_ts, base.column(VALID_TO).data_type)
     opened = (
         warehouse.read(name, version=base.version, segments=candidates, located=True, guarded=False)
-        .where(is_open)
+        .where(is_open if at is None else is_open & at)
         .select(F.col(f"`{key}`").alias("__open"), F.col(UPDATED_AT).alias("__dated"), FILE)
     )
     if empty and invalidate_hard_deletes:
@@ -258,6 +264,55 @@ def _run_rows(
         delta.unpersist()
 
 
+def _run_by_digest(warehouse, name, rows, key, updated_at, run_ts, invalidate_hard_deletes, null_keys, changes) -> Manifest:
+    """A run over the buckets whose digests differ; the next digests come from what it closes and opens."""
+    base = warehouse.manifest(name)
+    k, ts = base.column(key).data_type, base.column(UPDATED_AT).data_type
+    times = rows.select(F.col(f"`{key}`").cast(k).alias("k"), F.col(f"`{updated_at}`").cast(ts).alias("t"))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(f"`{key}`").isNull()).alias("nulls")).first()
+    if facts["nulls"] and null_keys == "reject":
+        raise SnapshotError(f"snapshot '{name}': {facts['nulls']} source rows have a NULL key")
+    segments = _open_segments(warehouse, base)
+    opened = warehouse.read(name, version=base.version, segments=segments, guarded=False).where(F.col(VALID_TO).isNull()).select(F.col(f"`{key}`").alias("k"), F.col(UPDATED_AT).alias("t"))
+    before = dg.stored(warehouse, base, segments, key, opened)
+    with warehouse.staged(before) as before:
+        unequal = dg.differing(before, dg.digest(times))
+        widened = len(_widened(base, rows).columns) > len(base.columns)
+        if not unequal and not facts["nulls"] and not widened and facts["n"]:
+            properties = base.properties
+            if (properties.get(dg.PROPERTY) or {}).get("of") != dg.fingerprint(segments):
+                properties = {**properties, dg.PROPERTY: dg.named(dg.keep(warehouse, base, before), key, segments)}
+            return warehouse.commit(base, properties=properties, **changes)
+        if len(unequal) <= dg.BUCKETS // 2 and facts["n"]:
+            within = F.col(f"`{key}`").isNull() | dg.bucket(F.col(f"`{key}`").cast(k)).isin(unequal)
+            some, at = rows.where(within), dg.bucket(F.col(f"`{key}`")).isin(unequal)
+        else:
+            some, at = rows, F.lit(True)
+        done = _run_rows(
+            warehouse, name, some, key, updated_at, run_ts, invalidate_hard_deletes, True, null_keys, changes, at=at,
+            facts=(facts["n"] == 0, facts["nulls"] > 0))
+        # What the run closed and opened is in the files it replaced and added.
+        after = _open_segments(warehouse, done)
+        came, went = ([s for s in side if _is_open_segment(warehouse, base, s)] for side in listed_changes(warehouse, base, done))
+
+        def times_of(manifest: Manifest, chosen: list[str]) -> DataFrame:
+            read = warehouse.read(name, version=manifest.version, segments=chosen, guarded=False).where(F.col(VALID_TO).isNull())
+            return read.select(F.col(f"`{key}`").alias("k"), F.col(UPDATED_AT).alias("t"))
+
+        now = dg.added(before, dg.digest(times_of(base, went), -1), dg.digest(times_of(done, came)))
+        folder = dg.keep(warehouse, done, now)
+        return warehouse.commit(done, properties={**done.properties, dg.PROPERTY: dg.named(folder, key, after)})
+
+
+def _is_open_segment(warehouse: Warehouse, base: Manifest, segment: str) -> bool:
+    rule = next((r for r in base.layout.rules if r.kind == "is_null"), None)
+    return rule is None or warehouse.directory_value(segment, rule.column) == "true"
+
+
+def _open_segments(warehouse: Warehouse, base: Manifest) -> list[str]:
+    return [s for s in base.segments if _is_open_segment(warehouse, base, s)]
+
+
 def _delta(opened: DataFrame, newest: DataFrame, hard_deletes: bool) -> DataFrame:
     """What a run changes: keys with an open row that ends, and keys without an open row.
 

@@ -157,3 +157,14 @@ def scd_new_column(spark, sf_dir):
 )
 def scd_id(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scd.scd_id("o_orderkey", "o_orderdate").alias("version_id"))
+
+
+@query("scd_digests", f"{history(2, hard=True)} SELECT * FROM h2")
+def scd_digests(spark, sf_dir):
+    """The cycle with hard deletes by digests, every extract seen twice: the second time there is nothing to join."""
+    warehouse = Warehouse(spark)
+    for n in range(3):
+        for _ in range(2):
+            scd.snapshot_run(
+                warehouse, "customers", active_customers(spark, sf_dir, n), KEY, UPDATED, clock(n), invalidate_hard_deletes=True, digests=True)
+    return warehouse.read("customers")

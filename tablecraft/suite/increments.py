@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablecraft.operators import incremental as inc
+from tablecraft.operators import keyindex
 from tablecraft.operators.layout import Layout, time_partition
 from tablecraft.sources.warehouse import Warehouse
 from tablecraft.suite.models import project
@@ -140,3 +141,23 @@ def inc_append(spark, sf_dir):
     warehouse.create("events", events.where(F.col("ts") < at("2024-01-20")))
     inc.append(warehouse, "events", events.where(F.col("ts") >= at("2024-01-10")))
     return warehouse.read("events")
+
+
+@query(
+    "inc_key_index",
+    """
+    SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderkey % 97 IN (1, 2) THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderkey % 97 = 2 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice
+    FROM orders
+    """,
+)
+def inc_key_index(spark, sf_dir):
+    """Orders stored by month of their date; keys scattered over all months are merged, then replaced, by the key index."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    warehouse = Warehouse(spark)
+    warehouse.create("orders", orders.where("o_orderkey % 97 <> 1"), Layout(rules=(time_partition("o_orderdate", "MONTH"),)))
+    keyindex.index_keys(warehouse, "orders", "o_orderkey")
+    changed = orders.where("o_orderkey % 97 IN (1, 2)").withColumn("o_orderstatus", F.lit("X"))
+    inc.merge(warehouse, "orders", changed, "o_orderkey")
+    inc.delete_insert(warehouse, "orders", changed.where("o_orderkey % 97 = 2").withColumn("o_totalprice", -F.col("o_totalprice")), "o_orderkey")
+    return warehouse.read("orders")

@@ -1,0 +1,88 @@
+"""Merges of scattered keys read only the files that hold them."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablecraft.operators import incremental as inc
+from tablecraft.operators import keyindex
+from tablecraft.operators.layout import Layout, PartitionRule
+from tests.conftest import as_rows
+
+
+def stored(spark, warehouse, n=5000, files=100):
+    """Keys dealt at random over the files."""
+    rows = spark.range(n).select("id", (F.col("id") * 2).alias("v"), F.pmod(F.xxhash64("id"), F.lit(files)).cast("int").alias("d"))
+    warehouse.create("t", rows, Layout(rules=(PartitionRule("column", "d", "d"),)))
+    return {r["id"]: r["d"] for r in rows.collect()}
+
+
+@pytest.fixture
+def read_keys(warehouse, monkeypatch):
+    """Segments whose keys are read to find matches."""
+    seen = []
+    read = warehouse.read
+
+    def reading(name, *args, located=False, **more):
+        if located:
+            seen.extend(more["segments"])
+        return read(name, *args, located=located, **more)
+
+    monkeypatch.setattr(warehouse, "read", reading)
+    return seen
+
+
+@pytest.mark.parametrize("strategy", ["merge", "delete+insert"])
+def test_a_hundred_scattered_keys_read_matching_files_only(spark, warehouse, read_keys, strategy):
+    places = stored(spark, warehouse)
+    keyindex.index_keys(warehouse, "t", "id")
+    rng = random.Random(1)
+    for step, keys in enumerate((rng.sample(range(5000), 30), rng.sample(range(5000), 3))):
+        read_keys.clear()
+        source = spark.createDataFrame([(k, -k - step, places[k]) for k in keys] + [(10_000 + step, 1, 5)], "id int, v long, d int")  # of another type
+        inc.apply_strategy(warehouse, "t", source, strategy, "id")
+        looked_at = {int(re.search("/d=(\\d+)/", s).group(1)) for s in read_keys if f"__version={step + 3}" not in s and "/d=" in s and s.endswith(".parquet")}
+        assert looked_at and looked_at <= {places[k] for k in keys}
+    rows = dict(as_rows(warehouse.read("t"), "id", "v"))
+    assert len(rows) == 5002 and all(rows[k] == -k - 1 for k in keys)
+
+
+def test_index_follows_every_change(spark, warehouse):
+    places = stored(spark, warehouse, 400, 7)
+    keyindex.index_keys(warehouse, "t", ["id", "d"])
+    plain = {k: (2 * k, d) for k, d in places.items()}
+    rng = random.Random(2)
+    for step in range(4):
+        keys = rng.sample(range(500), 12)
+        rows = [(k, 1000 * step + k, places.get(k, k % 7)) for k in keys]
+        source = spark.createDataFrame([*rows, (None, -1, 3)], "id long, v long, d int")
+        if step == 2:
+            warehouse.compact("t")
+        inc.merge(warehouse, "t", source, ["id", "d"])
+        plain |= {k: (v, d) for k, v, d in rows}
+        assert as_rows(warehouse.read("t").where("id is not null"), "id", "v", "d") == sorted(((k, *x) for k, x in plain.items()), key=lambda r: tuple((v is not None, str(v)) for v in r))
+    assert warehouse.read("t").where("id is null").count() == 4  # null keys match nothing
+    assert keyindex.serves(warehouse.manifest("t"), ["id", "d"]) and not keyindex.serves(warehouse.manifest("t"), ["id"])
+
+
+def test_indexes_of_unfinished_writes_are_not_used(spark, warehouse):
+    stored(spark, warehouse, 100, 3)
+    base = keyindex.index_keys(warehouse, "t", "id")
+    folder = base.segments[0].split("/")[0]
+    found = keyindex._found(warehouse, base, ["id"], folder)
+    warehouse.files.delete(f"{warehouse.root}/t/{found[0]}/_SUCCESS")
+    assert keyindex._found(warehouse, base, ["id"], folder) is None
+    inc.merge(warehouse, "t", spark.createDataFrame([(5, 0, 1)], "id long, v long, d int"), "id")
+    assert as_rows(warehouse.read("t").where("id = 5"), "v") == [(0,)]
+    assert keyindex._found(warehouse, base, ["id"], folder) is not None
+
+
+def test_many_parts(spark, warehouse, monkeypatch):
+    monkeypatch.setattr(keyindex, "PART_ROWS", 50)
+    stored(spark, warehouse, 1000, 4)
+    base = keyindex.index_keys(warehouse, "t", "id")
+    assert keyindex._found(warehouse, base, ["id"], base.segments[0].split("/")[0])[1] == 20
+    inc.merge(warehouse, "t", spark.createDataFrame([(k, -1, 1) for k in (1, 500, 999)], "id long, v long, d int"), "id")
+    assert warehouse.read("t").where("v = -1").count() == 3 and warehouse.read("t").count() == 1000
