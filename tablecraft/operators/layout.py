@@ -9,6 +9,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablecraft.operators.curve import position
+
 LOAD_TIME_COLUMN = "run_ts"
 TEXT_MARK = "v"
 # Operators by which directories can be left out.
@@ -155,8 +157,12 @@ class Layout:
     cluster_by: tuple[str, ...] = ()
     require_filter: bool = False
     partition_expiration_days: float | None = None
+    #: Whole writes follow a curve through all cluster columns instead of sorting by the first.
+    curve: bool = False
 
     def __post_init__(self):
+        if self.curve and len(self.cluster_by) < 2:
+            raise LayoutError("a curve needs two or more cluster_by columns")
         if len(self.cluster_by) > MAX_CLUSTER_COLUMNS:
             raise LayoutError(
                 f"cluster_by has {len(self.cluster_by)} columns, at most {MAX_CLUSTER_COLUMNS} are allowed"
@@ -174,6 +180,7 @@ class Layout:
         cluster_by: Sequence[str] | str | None = None,
         require_partition_filter: bool = False,
         partition_expiration_days: float | None = None,
+        curve: bool = False,
     ) -> "Layout":
         """Build a layout from the options a model declares.
 
@@ -187,7 +194,7 @@ class Layout:
         elif partition_by is not None:
             rules = (_rule_from_options(partition_by),)
         cluster = (cluster_by,) if isinstance(cluster_by, str) else tuple(cluster_by or ())
-        return cls(rules, cluster, require_partition_filter, partition_expiration_days)
+        return cls(rules, cluster, require_partition_filter, partition_expiration_days, curve)
 
     def renamed(self, mapping: dict[str, str]) -> "Layout":
         """The same layout after columns were renamed (keys in lower case)."""
@@ -214,7 +221,7 @@ class Layout:
     # -- writing -----------------------------------------------------------
     @staticmethod
     def arrange(
-        df: DataFrame, directories: Sequence[str], cluster_columns: Sequence[str], whole: bool = True
+        df: DataFrame, directories: Sequence[str], cluster_columns: Sequence[str], whole: bool = True, curve: bool = False
     ) -> DataFrame:
         """Distribute rows for the write.
 
@@ -236,6 +243,11 @@ class Layout:
             if isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
             or f.dataType == T.StringType()
         ] or [F.lit(0)])
+        place = position(df, cluster_columns) if curve else None
+        if place is not None:
+            # Ranges end at the directories and the place; inside a file the place comes first, too.
+            order = [*order[:len(directories)], place, *order[len(directories):]]
+            return df.repartitionByRange(*order[:len(directories) + 1], spread).sortWithinPartitions(*order)
         return df.repartitionByRange(*order, spread).sortWithinPartitions(*order)
 
     # -- (de)serialisation -------------------------------------------------
@@ -249,6 +261,7 @@ class Layout:
             cluster_by=tuple(raw["cluster_by"]),
             require_filter=raw["require_filter"],
             partition_expiration_days=raw["partition_expiration_days"],
+            curve=raw.get("curve", False),
         )
 
 

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
+import enum
+import functools
 import inspect
+import re
 import types
 from collections.abc import Mapping
 from decimal import Decimal
 from typing import Any
 
+from pyspark.sql import Column
+
+
+class DefinitionError(TypeError):
+    """A body depends on a value that has no description, so a change of it could not be noticed."""
+
+
+#: Packages whose objects are means to compute with, not part of what is computed.
+_MEANS = ("pyspark", "py4j", "tablecraft.plans.project", "tablecraft.sources", "logging")
 _PLAIN = (str, bytes, bool, int, float, complex, type(None), Decimal, dt.date, dt.time, dt.timedelta, type(Ellipsis))
 
 
@@ -17,7 +30,9 @@ def code_text(function: Any, variables: Mapping[str, Any] | None = None) -> str:
 
     Functions that it reaches by closure or by a global name (macros among them, also
     as ``module.macro``) are included, and so are the values of ``variables`` that
-    its constants name. Other objects count by their type alone.
+    its constants name. Dataclasses and other objects count by their class and their
+    fields, sessions, frames, projects and warehouses by their class alone. A value that has
+    neither is refused.
     """
     seen: dict[int, int] = {}
     return _value(function, variables or {}, seen)
@@ -39,7 +54,7 @@ def _value(value: Any, variables: Mapping[str, Any], seen: dict[int, int]) -> st
     if isinstance(value, types.MethodType):
         value = value.__func__
     if not isinstance(value, types.FunctionType):
-        return type(value).__qualname__
+        return _object(value, variables, seen)
     if id(value) in seen:
         return f"<function {seen[id(value)]}>"
     seen[id(value)] = len(seen)
@@ -58,6 +73,37 @@ def _value(value: Any, variables: Mapping[str, Any], seen: dict[int, int]) -> st
     return "(" + "|".join(parts) + ")"
 
 
+def _object(value: Any, variables: Mapping[str, Any], seen: dict[int, int]) -> str:
+    if isinstance(value, type):
+        return f"<class {value.__module__}.{value.__qualname__}>"
+    name = f"{type(value).__module__}.{type(value).__qualname__}"
+    if isinstance(value, Column):
+        return f"{name}:{re.sub('#[0-9]+', '', str(value))}"
+    if isinstance(value, enum.Enum):
+        return f"{name}.{value.name}"
+    if isinstance(value, functools.partial):
+        return f"{name}({_value((value.func, value.args, value.keywords), variables, seen)})"
+    if isinstance(value, re.Pattern):
+        return f"{name}({value.pattern!r},{value.flags})"
+    if isinstance(value, range):
+        return repr(value)
+    if isinstance(value, (types.BuiltinFunctionType, types.MethodDescriptorType, types.ModuleType)):
+        return f"<{getattr(value, '__module__', None)}.{getattr(value, '__qualname__', value.__name__)}>"
+    if name.startswith(tuple(f"{m}." for m in _MEANS)) and not name.startswith("pyspark.sql.types."):
+        return name
+    if id(value) in seen:
+        return f"<object {seen[id(value)]}>"
+    seen[id(value)] = len(seen)
+    if dataclasses.is_dataclass(value):
+        fields = {f.name: getattr(value, f.name) for f in dataclasses.fields(value)}
+    else:
+        slots = [s for kind in type(value).__mro__ for s in getattr(kind, "__slots__", ()) if s not in ("__dict__", "__weakref__")]
+        fields = {**{s: getattr(value, s) for s in slots if hasattr(value, s)}, **getattr(value, "__dict__", {})}
+        if not slots and not hasattr(value, "__dict__"):
+            raise DefinitionError(f"a model body depends on a value of type {name}, which cannot be described; use plain values, dataclasses or variables")
+    return f"{name}{_value(dict(sorted(fields.items())), variables, seen)}"
+
+
 def _cell(cell: Any) -> Any:
     try:
         return cell.cell_contents

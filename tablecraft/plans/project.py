@@ -211,6 +211,7 @@ class Project:
         incremental_strategy: str = "merge",
         partition_by: Any = None,
         cluster_by: Sequence[str] | str | None = None,
+        cluster_curve: bool = False,
         require_partition_filter: bool = False,
         partition_expiration_days: float | None = None,
         schema: Sequence[Field] | None = None,
@@ -238,7 +239,7 @@ class Project:
                 materialized=materialized,
                 unique_key=(unique_key,) if isinstance(unique_key, str) else tuple(unique_key),
                 incremental_strategy=incremental_strategy,
-                layout=Layout.of(partition_by, cluster_by, require_partition_filter, partition_expiration_days),
+                layout=Layout.of(partition_by, cluster_by, require_partition_filter, partition_expiration_days, cluster_curve),
                 schema=tuple(schema) if schema is not None else None,
                 owns_table=owns_table,
                 properties={k: v for k, v in options.items() if v is not None},

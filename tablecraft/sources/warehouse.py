@@ -431,7 +431,7 @@ class Warehouse:
         columns += [r.value(F.col(f"`{r.field}`")).alias(r.column) for r in base.layout.rules if r.hidden]
         directories = [base.directory(r) for r in base.layout.rules]
         clusters = [base.column(c).stored_as for c in base.layout.cluster_by]
-        rows = Layout.arrange(fitted.select(*columns), directories, clusters, whole)
+        rows = Layout.arrange(fitted.select(*columns), directories, clusters, whole, base.layout.curve)
         folder = f"{VERSION}={base.version + 1}-{uuid.uuid4().hex[:8]}"
         writer = rows.write.mode("errorifexists")
         if directories:

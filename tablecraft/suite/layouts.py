@@ -64,6 +64,15 @@ def cluster_by(spark, sf_dir):
     return scan(warehouse, "lines", [("l_suppkey", "between", (3, 7))])
 
 
+@query("cluster_curve", "SELECT l_suppkey, l_partkey, l_orderkey, l_quantity FROM lineitem WHERE l_partkey BETWEEN 100 AND 150")
+def cluster_curve(spark, sf_dir):
+    """Stored along a curve through two columns, filtered by the second."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_quantity")
+    warehouse = Warehouse(spark)
+    warehouse.create("lines", lines, Layout(cluster_by=("l_suppkey", "l_partkey"), curve=True))
+    return scan(warehouse, "lines", [("l_partkey", "between", (100, 150))])
+
+
 @query(
     "require_part_filter",
     "SELECT event_type, COUNT(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-25' GROUP BY 1",

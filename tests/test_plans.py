@@ -1,18 +1,24 @@
 """Shapes that plans must and must not have, and skewed inputs."""
 
+import functools
 import os
+import re
 import subprocess
 import sys
+from dataclasses import dataclass
+from enum import Enum
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecraft.functions import builtins as fn
 from tablecraft.functions.builtins import macro
 from tablecraft.operators import conversations as conv
 from tablecraft.operators import incremental as inc
 from tablecraft.operators import snapshot as scd
-from tablecraft.plans.definition import code_text
+from tablecraft.plans.definition import DefinitionError, code_text
+from tablecraft.plans.project import Project
 from tablecraft.suite import QUERIES, history
 from tablecraft.suite.models import daily_revenue_frame
 
@@ -139,3 +145,57 @@ def test_a_definition_follows_its_macros():
     before = code_text(space["build"])
     exec("@macro\ndef doubled(x):\n    return x * 3", space)
     assert code_text(space["build"]) != before
+
+
+def test_a_definition_follows_objects_by_their_fields(spark):
+    @dataclass
+    class Limits:
+        floor: int
+        names: tuple = ("a",)
+
+    class Plain:
+        def __init__(self, floor):
+            self.floor, self.me = floor, self
+
+    class Slotted:
+        __slots__ = ("floor",)
+
+        def __init__(self, floor):
+            self.floor = floor
+
+    class Kind(Enum):
+        ONE = 1
+        TWO = 2
+
+    def body(value):
+        return lambda ctx: ctx.source("raw", "orders").where(value is not None)
+
+    pairs = [
+        (Limits(1), Limits(2)), (Limits(1), Limits(1, ("b",))), (Plain(1), Plain(2)), (Slotted(1), Slotted(2)), (Kind.ONE, Kind.TWO),
+        (functools.partial(max, 1), functools.partial(max, 2)), (re.compile("a"), re.compile("a", re.I)), (range(3), range(4)), (Limits, Plain),
+        ([Limits(1)], [Limits(2)]), ({"x": Plain(1)}, {"x": Plain(2)}), (F.col("a") > 1, F.col("a") > 2), (T.DecimalType(9, 2), T.DecimalType(9, 3)), (len, max),
+    ]
+    for one, other in pairs:
+        assert code_text(body(one)) != code_text(body(other)), one
+    for make in (lambda: Limits(1), lambda: Plain(1), lambda: Slotted(1), lambda: F.col("a") > 1, lambda: functools.partial(max, 1), lambda: spark, lambda: spark.range(3)):
+        assert code_text(body(make())) == code_text(body(make()))
+    with pytest.raises(DefinitionError, match="generator"):
+        code_text(body(x for x in "ab"))
+
+
+def test_an_edited_dataclass_rebuilds_an_incremental_model(spark, warehouse):
+    @dataclass
+    class Limits:
+        floor: int
+
+    def project(limits):
+        made = Project(spark, warehouse)
+
+        @made.model(materialized="incremental", unique_key="id", incremental_strategy="append")
+        def kept(ctx):
+            return spark.range(10).where(F.col("id") >= limits.floor)
+
+        made.run("kept")
+        return made.read("kept").count()
+
+    assert [project(Limits(n)) for n in (4, 4, 7)] == [6, 12, 3]
