@@ -50,9 +50,7 @@ def bounds(df: DataFrame, columns: Sequence[str], bits: int = BITS) -> dict[str,
 
 def rank(value: Column, ends: Sequence[float], bits: int = BITS) -> Column:
     """How many quantiles lie below the value, spread over all ranks; NULL goes with the first."""
-    below = F.lit(0)
-    for end in ends:
-        below = below + (value > F.lit(end)).cast("int")
+    below = F.size(F.filter(F.array(*map(F.lit, ends)), lambda end: value > end)) if ends else F.lit(0)
     # Few distinct quantiles (few values, or one very common) are stretched over the leading bits.
     return F.coalesce(F.floor(below * (2 ** bits - 1) / max(1, len(ends))).cast("int"), F.lit(0))
 
@@ -60,10 +58,18 @@ def rank(value: Column, ends: Sequence[float], bits: int = BITS) -> Column:
 def position(df: DataFrame, columns: Sequence[str], bits: int = BITS) -> Column | None:
     """The place of a row along the curve, as a number; None if no column has an order."""
     found = bounds(df, columns, bits)
-    ranks = [rank(measured(F.col(f"`{c}`"), df.schema[c].dataType), ends, bits) for c, ends in found.items()]
-    place = None
-    for bit in range(bits):
-        for i, r in enumerate(ranks):
-            moved = F.shiftleft(F.shiftright(r, bit).bitwiseAND(1).cast("long"), bit * len(ranks) + len(ranks) - 1 - i)
-            place = moved if place is None else place.bitwiseOR(moved)
-    return place
+    if not found:
+        return None
+    values = F.struct(*[measured(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(found)])
+    ranks = lambda v: F.struct(*[rank(v[f"v{i}"], ends, bits).alias(f"r{i}") for i, ends in enumerate(found.values())])
+
+    def interleaved(r: Column) -> Column:
+        place = F.lit(0).cast("long")
+        for bit in range(bits):
+            for i in range(len(found)):
+                moved = F.shiftleft(F.shiftright(r[f"r{i}"], bit).bitwiseAND(1).cast("long"), bit * len(found) + len(found) - 1 - i)
+                place = place.bitwiseOR(moved)
+        return place
+
+    # Bound to names, values are computed once for all bounds and ranks once for all bits.
+    return F.element_at(F.transform(F.transform(F.array(values), ranks), interleaved), 1)

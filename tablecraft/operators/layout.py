@@ -245,9 +245,11 @@ class Layout:
         ] or [F.lit(0)])
         place = position(df, cluster_columns) if curve else None
         if place is not None:
-            # Ranges end at the directories and the place; inside a file the place comes first, too.
-            order = [*order[:len(directories)], place, *order[len(directories):]]
-            return df.repartitionByRange(*order[:len(directories) + 1], spread).sortWithinPartitions(*order)
+            # Ranges end at the directories and the place; inside a file the place comes first, too. As a
+            # column it is computed once, not in every comparison.
+            ends = [*order[:len(directories)], F.col("__place")]
+            placed = df.withColumn("__place", place).repartitionByRange(*ends, spread)
+            return placed.sortWithinPartitions(*ends, *order[len(directories):]).drop("__place")
         return df.repartitionByRange(*order, spread).sortWithinPartitions(*order)
 
     # -- (de)serialisation -------------------------------------------------
