@@ -28,6 +28,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ PART, GROUPS = 8192, 64
 MEMO = 500_000
 WEIGHTS = "part int, lane int, n long, weights array<float>"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
 
 
 @dataclass
@@ -79,65 +80,79 @@ class Network:
 _ONES = np.ones(CLASSES, np.float32)
 
 
-def _chosen(logits: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probability of the chosen column of each row; what the softmax divides, and by what.
+def _chosen(logits: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of the chosen column of each row, and what the softmax divides by; exponentials take the logits' place.
 
     Logits are cut where the exponential would leave the range of the type; sums of
     rows are products with ones, which is faster than reducing short rows.
     """
-    e = np.exp(np.clip(logits, -40, 40))
-    total = e @ _ONES
-    return np.log(e[np.arange(len(k)), k] / total), e, total
+    np.clip(logits, -40, 40, out=logits)
+    np.exp(logits, out=logits)
+    total = logits @ _ONES
+    return np.log(logits.ravel().take(_cells(k)) / total), total
+
+
+def _cells(k: np.ndarray) -> np.ndarray:
+    """Flat places of one column of each row."""
+    return np.arange(0, len(k) * CLASSES, CLASSES) + k
 
 
 def forward(net: Network, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """Log-probability of the words at the places, hidden values, and what the gradient needs per class."""
-    # Places of one class together: their softmax within the class is one product.
-    order = np.argsort(ids[at] // CLASSES, kind="stable")
+    """Log-probability of the words at the places, hidden values, and what the gradient needs."""
+    # Places of one class together: the logits within it are one product. Numbers of 16 bits are sorted by radix.
+    order = np.argsort((ids[at] // CLASSES).astype(np.int16), kind="stable")
     ordered = at[order]
     total = net.near[0].take(ids[ordered + PLACES[0]], axis=0)
     for k in range(1, len(PLACES)):
         total += net.near[k].take(ids[ordered + PLACES[k]], axis=0)
     hidden = np.ones((len(at), WIDTH + 1), np.float32)
     np.tanh(total, out=hidden[:, :WIDTH])
-    kind, word = np.divmod(ids[ordered], CLASSES)
-    log_p, e, sums = _chosen(hidden @ net.of_class, kind)
-    starts = np.searchsorted(kind, np.arange(CLASSES + 1))
-    parts = []
-    for c in range(CLASSES):
-        a, b = starts[c], starts[c + 1]
-        if b > a:
-            inner, e_c, sums_c = _chosen(hidden[a:b] @ net.within[c], word[a:b])
-            log_p[a:b] += inner
-            parts.append((c, a, b, e_c, sums_c))
+    kind, word = np.divmod(ids[ordered].astype(np.int64), CLASSES)
+    e = hidden @ net.of_class
+    log_p, sums = _chosen(e, kind)
+    starts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    spans = [(c, a, b) for c, (a, b) in enumerate(zip(starts, starts[1:])) if b > a]
+    inner = np.empty((len(at), CLASSES), np.float32)
+    for c, a, b in spans:
+        np.matmul(hidden[a:b], net.within[c], out=inner[a:b])
+    log_p_inner, sums_inner = _chosen(inner, word)
     back = np.empty_like(log_p)
-    back[order] = log_p
-    return back, hidden, [ordered, kind, word, e, sums, parts]
+    back[order] = log_p + log_p_inner
+    return back, hidden, [ordered, kind, word, e, sums, inner, sums_inner, spans]
+
+
+_COLUMNS = np.arange(WIDTH)
 
 
 def learn(net: Network, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
     """One step down the gradient of the places' mean loss, in place."""
-    _, hidden, (ordered, kind, word, e, sums, parts) = forward(net, ids, at)
-    n = len(at)
-    step = np.float32(rate / np.sqrt(n))
-    d_class = e / sums[:, None]
-    d_class[np.arange(n), kind] -= 1
+    _, hidden, (ordered, kind, word, d_class, sums, d_word, sums_word, spans) = forward(net, ids, at)
+    step = np.float32(rate / np.sqrt(len(at)))
+    for d, s, k in ((d_class, sums, kind), (d_word, sums_word, word)):
+        d /= s[:, None]
+        d.ravel()[_cells(k)] -= 1
     d_hidden = d_class @ net.of_class.T
-    updates = [(net.of_class, hidden.T @ d_class)]
-    for c, a, b, e_c, sums_c in parts:
-        p = e_c / sums_c[:, None]
-        p[np.arange(b - a), word[a:b]] -= 1
-        d_hidden[a:b] += p @ net.within[c].T
-        updates.append((net.within[c], hidden[a:b].T @ p))
-    d_total = d_hidden[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)
-    for weights, gradient in updates:
-        weights -= step * gradient
+    net.of_class -= step * (hidden.T @ d_class)
+    for c, a, b in spans:
+        d_hidden[a:b] += d_word[a:b] @ net.within[c].T
+        net.within[c] -= step * (hidden[a:b].T @ d_word[a:b])
+    d_total = (d_hidden[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)).ravel()
     for k, place in enumerate(PLACES):
-        near = ids[ordered + place]
-        by_word = np.argsort(near, kind="stable")
-        sorted_ = near[by_word]
-        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        net.near[k][sorted_[first]] -= step * np.add.reduceat(d_total.take(by_word, axis=0), first, axis=0)
+        # Sums per word: every number of a row goes to its place in the word's row.
+        cells = (ids[ordered + place].astype(np.int64)[:, None] * WIDTH + _COLUMNS).ravel()
+        net.near[k] -= (step * np.bincount(cells, d_total, (SIZE + 1) * WIDTH)).reshape(SIZE + 1, WIDTH).astype(np.float32)
+
+
+class _Memo(dict):
+    """Ids of the words seen so far; others get theirs when they are asked for."""
+
+    def __init__(self, own: dict[str, int]):
+        self.own = own
+
+    def __missing__(self, word: str) -> int:
+        i = self.own.get(word)
+        self[word] = i = SIZE - SHARED + zlib.crc32(word.encode()) % SHARED if i is None else i
+        return i
 
 
 class Numbers:
@@ -145,25 +160,19 @@ class Numbers:
 
     def __init__(self, vocabulary: list[str]):
         self.own = {w: i for i, w in enumerate(vocabulary)}
-        self.memo: dict[str, int] = {}
+        self.memo = _Memo(self.own)
 
     def of(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with padding before, between and after, and the number of words of each."""
-        found = [_WORD.findall(t.lower()) for t in texts]
+        # In ASCII the letters are a to z, which is a faster pattern.
+        found = [(_ASCII_WORD if t.isascii() else _WORD).findall(t) for t in map(str.lower, texts)]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, own = self.memo, self.own
-        for words in found:
-            for w in set(words):
-                if w not in memo:
-                    i = own.get(w)
-                    memo[w] = SIZE - SHARED + zlib.crc32(w.encode()) % SHARED if i is None else i
         sizes = np.array([len(w) for w in found], np.int64)
-        ids = np.full(sizes.sum() + 2 * (len(found) + 1), PAD, np.int32)
-        begin = 2
-        for words in found:
-            ids[begin:begin + len(words)] = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
-            begin += len(words) + 2
+        n = int(sizes.sum())
+        ids = np.full(n + 2 * (len(found) + 1), PAD, np.int32)
+        places = np.arange(n) + 2 * np.repeat(np.arange(1, len(found) + 1), sizes)
+        ids[places] = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(found)), np.int32, n)
         return ids, sizes
 
 

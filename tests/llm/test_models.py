@@ -228,6 +228,38 @@ def test_gradient():
     assert pseudo_likelihood.forward(net, ids, at)[0].mean() > before + 1.0
 
 
+def test_all_classes_share_one_softmax_pass(monkeypatch):
+    calls, chosen = [], pseudo_likelihood._chosen
+    monkeypatch.setattr(pseudo_likelihood, "_chosen", lambda *given: calls.append(1) or chosen(*given))
+    ids = np.r_[[pseudo_likelihood.PAD] * 2, np.arange(0, pseudo_likelihood.SIZE, 3), [pseudo_likelihood.PAD] * 2].astype(np.int32)
+    pseudo_likelihood.learn(pseudo_likelihood.Network.initial(), ids, np.arange(2, len(ids) - 2), 0.1)
+    # One for the classes, one for the words within all of them.
+    assert len(calls) == 2
+
+
+def test_step_against_plain_python():
+    rng = np.random.default_rng(3)
+    ids = np.r_[[pseudo_likelihood.PAD] * 2, rng.integers(0, 90, 70), [pseudo_likelihood.PAD] * 2].astype(np.int32)
+    at = rng.permutation(np.arange(2, 72))
+    net, plain = pseudo_likelihood.Network.initial(), pseudo_likelihood.Network.initial()
+    pseudo_likelihood.learn(net, ids, at, 0.1)
+    moved = [np.zeros(w.shape) for w in (plain.near, plain.of_class, plain.within)]
+    for t in at:
+        h = np.append(np.tanh(sum(plain.near[k][ids[t + p]].astype(float) for k, p in enumerate(pseudo_likelihood.PLACES))), 1.0)
+        kind, word = divmod(int(ids[t]), pseudo_likelihood.CLASSES)
+        back = np.zeros(len(h))
+        for weights, change, chosen in ((plain.of_class, moved[1], kind), (plain.within[kind], moved[2][kind], word)):
+            d = np.exp(h @ weights)
+            d /= d.sum()
+            d[chosen] -= 1
+            change += np.outer(h, d)
+            back += weights @ d
+        for k, p in enumerate(pseudo_likelihood.PLACES):
+            moved[0][k][ids[t + p]] += back[:-1] * (1 - h[:-1] ** 2)
+    for now, before, change in zip((net.near, net.of_class, net.within), (plain.near, plain.of_class, plain.within), moved, strict=True):
+        assert np.allclose(now, before - 0.1 / np.sqrt(len(at)) * change, atol=1e-6)
+
+
 def test_training_prefers_the_corpus_to_its_shuffle(spark):
     rng = random.Random(6)
     patterns = ["red fox runs home", "blue bird sings loud", "old ship sails west", "tall tree grows slow"]
