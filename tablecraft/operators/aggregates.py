@@ -22,7 +22,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecraft.operators.layout import Layout
-from tablecraft.sources.warehouse import Manifest, TableError, Warehouse, touched_files
+from tablecraft.sources.warehouse import Manifest, TableError, Warehouse, numbered, touched_files
 
 ROWS = "__rows"
 GROUP = ("__group", "__group_check")
@@ -238,8 +238,8 @@ def refresh(warehouse: Warehouse, name: str, view: Aggregate, properties: Mappin
 
 def _replaced(warehouse: Warehouse, base: Manifest, groups: DataFrame, rows: DataFrame, properties: Mapping[str, Any]) -> Manifest:
     """Publish ``rows`` in place of the stored rows of ``groups``; files without them stay."""
-    located = warehouse.read(base.table, version=base.version, located=True, guarded=False)
-    touched = touched_files(located.join(groups, list(GROUP), "left_semi"))
+    located = numbered(warehouse.read(base.table, version=base.version, located=True, guarded=False))
+    touched = touched_files(located.join(groups, list(GROUP), "left_semi"), located)
     if not touched and groups.isEmpty():
         return warehouse.commit(base, properties=properties)
     if touched:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecraft.operators import keyindex
 from tablecraft.operators.layout import PartitionRule, literal
-from tablecraft.sources.warehouse import FILE, NULL_DIRECTORY, Manifest, TableError, Warehouse, touched_files
+from tablecraft.sources.warehouse import FILE, NULL_DIRECTORY, Manifest, TableError, Warehouse, numbered, touched_files
 
 _MATCH = "__match"
 STRATEGIES = ("merge", "delete+insert", "append")
@@ -181,7 +181,7 @@ def _merge_rows(warehouse: Warehouse, base: Manifest, rows: DataFrame, keys: lis
     here = _possible_matches(warehouse, base, rows, keys)
     hits = here.alias("t").join(counted.alias("s"), _on("t", "s", keys), "inner").select("t.*", "s.__n").persist()
     try:
-        touched = touched_files(hits, F.col("__n"))
+        touched = touched_files(hits, here, F.col("__n"))
         inserts = rows.alias("s").join(hits.alias("t"), _on("s", "t", keys), "left_anti")
         lowered = {k.lower() for k in keys}
         if not update or not touched or {c.name.lower() for c in base.columns} == lowered:
@@ -221,7 +221,7 @@ def delete_insert(
     with warehouse.staged(warehouse.fit(base, source)) as rows:
         wanted = _with_key(rows, keys).select(*[F.col(f"`{k}`") for k in keys]).distinct()
         here = _possible_matches(warehouse, base, rows, keys)
-        touched = touched_files(here.alias("t").join(wanted.alias("s"), _on("t", "s", keys), "left_semi"))
+        touched = touched_files(here.alias("t").join(wanted.alias("s"), _on("t", "s", keys), "left_semi"), here)
         if not touched:
             return warehouse.publish(base, rows, replaced=(), **changes)
         old = warehouse.read(name, version=base.version, segments=list(touched), guarded=False)
@@ -253,7 +253,7 @@ def apply_strategy(
 
 
 def _possible_matches(warehouse: Warehouse, base: Manifest, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys and places of the stored rows that the source could match.
+    """Keys and file numbers of the stored rows that the source could match.
 
     Directories are chosen by name if a partition column is a key, files by the key
     index if the table has one; the range of the source's keys goes to the file scan, which skips row groups outside it.
@@ -274,7 +274,7 @@ def _possible_matches(warehouse: Warehouse, base: Manifest, rows: DataFrame, key
         segments = [s for s in segments if places[s] in wanted]
     if segments and keyindex.serves(base, keys):
         segments = keyindex.holding(warehouse, base, rows, keys, segments)
-    here = warehouse.read(base.table, version=base.version, segments=segments, located=True, guarded=False)
+    here = numbered(warehouse.read(base.table, version=base.version, segments=segments, located=True, guarded=False))
     if ranged:
         zoned = {k for k in ranged if isinstance(base.column(k).data_type, T.TimestampType)}
         value = lambda k: F.unix_micros(F.col(f"`{k}`")) if k in zoned else F.col(f"`{k}`")

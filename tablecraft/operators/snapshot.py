@@ -24,7 +24,7 @@ from tablecraft.operators import digests as dg
 from tablecraft.operators.aggregates import listed_changes
 from tablecraft.operators.layout import Layout, PartitionRule, literal, time_partition
 from tablecraft.sources.warehouse import (
-    FILE, Manifest, Warehouse, columns_of, touched_files,
+    FILE, Manifest, Warehouse, columns_of, numbered, touched_files,
 )
 
 # The bookkeeping columns of a history table.
@@ -231,12 +231,12 @@ def _run_rows(
     is_open = F.col(VALID_TO).isNull()
     run_time = literal(run_ts, base.column(VALID_TO).data_type)
     opened = (
-        warehouse.read(name, version=base.version, segments=candidates, located=True, guarded=False)
+        numbered(warehouse.read(name, version=base.version, segments=candidates, located=True, guarded=False))
         .where(is_open if at is None else is_open & at)
         .select(F.col(f"`{key}`").alias("__open"), F.col(UPDATED_AT).alias("__dated"), FILE)
     )
     if empty and invalidate_hard_deletes:
-        touched = list(touched_files(opened))
+        touched = list(touched_files(opened, opened))
         old = warehouse.read(name, version=base.version, segments=touched, guarded=False)
         closed = old.withColumn(VALID_TO, F.when(is_open, run_time).otherwise(F.col(VALID_TO)))
         return warehouse.publish(base, closed, replaced=touched, **changes)
@@ -247,7 +247,7 @@ def _run_rows(
     try:
         closing = delta.where("NOT new").select("__key", _NEWEST, "gone")
         ending = opened.join(closing, F.col("__open") == F.col("__key")).where(F.col("gone") | (F.col(_NEWEST) > F.col("__dated")))
-        touched = list(touched_files(ending))
+        touched = list(touched_files(ending, opened))
         fresh = _without_open_row(rows, delta, closing, opened, key)
         result = _versions(fresh, key, updated_at, run_ts)
         if touched:

@@ -1,13 +1,14 @@
 """Edge rules of the incremental strategies, pure and table forms alike."""
 
 import random
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablecraft.operators import incremental as inc
-from tablecraft.operators.layout import Layout, range_partition, time_partition
-from tablecraft.sources.warehouse import TableError
+from tablecraft.operators.layout import Layout, date_partition, range_partition, time_partition
+from tablecraft.sources.warehouse import FILE, TableError, touched_files
 from tests.conftest import as_rows
 
 DDL = "k int, v string"
@@ -181,6 +182,23 @@ def test_the_key_range_reaches_the_scan(spark, warehouse):
     assert "LessThanOrEqual(id,49)" in plan
 
 
+def test_matches_carry_file_numbers_instead_of_paths(spark, warehouse):
+    """Directories with characters that paths escape; files are found by their numbers."""
+    rows = [(i, v) for i, v in enumerate(("a b", "a%2Fb+c", "ü/x", None, "q=1:2#?", "plain"))]
+    warehouse.create("t", spark.createDataFrame(rows, DDL), Layout(rules=(date_partition("v"),)))
+    base = warehouse.manifest("t")
+    here = inc._possible_matches(warehouse, base, spark.createDataFrame(rows, DDL), ["k"])
+    assert here.dtypes == [("k", "int"), (FILE, "bigint")]
+    located = warehouse.read("t", located=True)
+    for k, v in rows:
+        found = touched_files(here.where(F.col("k") == k), here, F.col("k"))
+        name = located.where(F.col("k") == k).first()[FILE]
+        assert list(found) == [unquote(name[name.index("/__version=") + 1:])] and list(found.values()) == [k]
+    inc.delete_insert(warehouse, "t", spark.createDataFrame([(k, "new") for k, _ in rows[:5]], DDL), "k")
+    assert as_rows(warehouse.read("t")) == ordered([*((k, "new") for k, _ in rows[:5]), (5, "plain")])
+    assert len([s for s in warehouse.manifest("t").segments if s in base.segments]) == 1
+
+
 def test_a_hot_key_is_kept_whole(spark, warehouse):
     """A third of target and source rows share one key, another part has none."""
     target = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.lit("a").alias("v"))
